@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -55,16 +56,18 @@ def _fit(vectors: DataFrame, k: int, seed: int, iterations: int) -> KMeansModel:
 
 
 def kmeans_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int], restarts: int = 10,
-                 seed: int = 808, iterations: int = 100, parallelism: int = 4) -> dict[int, Clustering]:
+                 seed: int = 808, iterations: int = 100, parallelism: int = 8) -> dict[int, Clustering]:
     """For every k the cheapest of ``restarts`` fits. The vectors are read once and kept for all fits,
     which overlap so that short iterations do not leave the cluster idle."""
     vectors = with_vector(df, features).select(VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         jobs = [(k, seed + r) for k in ks for r in range(restarts)]
-        run = inheritable_thread_target(df.sparkSession)(
-            lambda job: (job[0], _fit(vectors, *job, iterations)))
+        # one wrapper per fit: each gets its own copy of the session's thread properties
+        runs = [inheritable_thread_target(df.sparkSession)(partial(_fit, vectors, *job, iterations))
+                for job in jobs]
         with ThreadPoolExecutor(parallelism) as pool:
-            fits = list(pool.map(run, jobs))
+            models = list(pool.map(lambda run: run(), runs))
+        fits = [(k, model) for (k, _), model in zip(jobs, models)]
     finally:
         vectors.unpersist()
     best = {}

@@ -6,8 +6,10 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+import pandas as pd
+from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, ElementwiseProduct,
+                                Normalizer)
+from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,42 +103,43 @@ def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFra
 
 @dataclass(frozen=True)
 class Tfidf:
-    """A fitted vocabulary ``(term, df, total, idf)`` and how to apply it.
+    """A fitted vocabulary ``(index, term, df, total, idf)`` and how to apply it; ``counter`` counts its
+    terms and ``idf`` holds their weights in the same order.
 
-    The vocabulary holds at most the ``max_terms`` it was fitted with, which bounds what is broadcast.
+    The vocabulary holds at most the ``max_terms`` it was fitted with, which bounds what is sent to
+    every task. Applying it moves no text between tasks.
     """
 
     vocabulary: DataFrame
     documents: int
+    counter: CountVectorizerModel
+    idf: DenseVector
     terms: Callable[[str], Column] = words
 
-    def counts(self, df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
-        """``(*keep, term, tf)`` for the terms of the vocabulary; ``keep`` must identify the row."""
-        split = df.select(*keep, F.explode(self.terms(text)).alias("term"))
-        known = self.vocabulary.select("term", "idf")
-        return (split.join(F.broadcast(known), "term")
-                .groupBy(*keep, "term", "idf").agg(F.count(F.lit(1)).alias("tf")))
-
-    def weights(self, df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
-        """``(*keep, term, tf, weight)``: tf * idf, scaled to length 1 per text."""
-        raw = self.counts(df, keep, text).withColumn("__w", F.col("tf") * F.col("idf"))
-        lengths = raw.groupBy(*keep).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__length"))
-        return (raw.join(lengths, list(keep))
-                .select(*keep, "term", "tf", (F.col("__w") / F.col("__length")).alias("weight")))
-
-    def vectors(self, df: DataFrame, text: str, out: str = "features") -> DataFrame:
-        """Add the same weights as a sparse vector, without a shuffle."""
-        rows = self.vocabulary.orderBy("term").collect()
-        if not rows:
-            raise ValueError("the vocabulary is empty")
-        counter = CountVectorizerModel.from_vocabulary(
-            [r["term"] for r in rows], inputCol="__terms", outputCol="__tf")
-        product = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]),
-                                     inputCol="__tf", outputCol="__weighted")
+    def vectors(self, df: DataFrame, text: str, out: str = "features",
+                counts: str | None = None) -> DataFrame:
+        """Add the weights tf * idf, scaled to length 1, as a sparse vector, and under the name
+        ``counts`` the plain tf."""
+        tf = counts or "__tf"
+        counter = self.counter.copy().setInputCol("__terms").setOutputCol(tf)
+        product = ElementwiseProduct(scalingVec=self.idf, inputCol=tf, outputCol="__weighted")
         unit = Normalizer(p=2.0, inputCol="__weighted", outputCol=out)
         tokens = df.withColumn("__terms", self.terms(text))
         return (unit.transform(product.transform(counter.transform(tokens)))
-                .drop("__terms", "__tf", "__weighted"))
+                .drop("__terms", "__weighted", "__tf"))
+
+    def weights(self, df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
+        """The same in long form: ``(*keep, term, tf, weight)``."""
+        both = self.vectors(df.select(*keep, text), text, "__unit", "__counts")
+        pairs = F.arrays_zip(
+            F.unwrap_udt("__unit")["indices"].alias("index"),
+            F.unwrap_udt("__counts")["values"].alias("tf"),
+            F.unwrap_udt("__unit")["values"].alias("weight"))
+        terms = F.broadcast(self.vocabulary.select("index", "term"))
+        return (both.select(*keep, F.explode(pairs).alias("e"))
+                .select(*keep, F.col("e.index").alias("index"), F.col("e.tf").cast("long").alias("tf"),
+                        F.col("e.weight").alias("weight"))
+                .join(terms, "index").select(*keep, "term", "tf", "weight"))
 
 
 def _document_share(limit: float | int, documents: int) -> float:
@@ -148,6 +151,9 @@ def fit_tfidf(df: DataFrame, text: str, min_df: float | int = 0.0001, max_df: fl
     """Count terms and the texts they occur in, keep those within the limits (shares of the texts or
     whole numbers), the most frequent first, and weigh them by ln((1 + texts) / (1 + df)) + 1.
 
+    A share as the lower limit bounds the terms that are left whatever the number of texts: each is in
+    that share of them, so there are at most (mean distinct terms of a text) / share.
+
     ``terms`` turns a text column into an array of terms: words, or stems of them.
     """
     tokens = df.select(terms(text).alias("__terms"))
@@ -164,4 +170,15 @@ def fit_tfidf(df: DataFrame, text: str, min_df: float | int = 0.0001, max_df: fl
                           & (F.col("df") <= _document_share(max_df, documents)))
     idf = F.log(F.lit(1.0 + documents) / (1 + F.col("df"))) + 1
     chosen = kept.orderBy(F.col("total").desc(), "term").limit(max_terms)
-    return Tfidf(checkpointed(chosen.withColumn("idf", idf)), documents, terms)
+    stored = checkpointed(chosen.select("term", "df", "total", idf.alias("idf")))
+    if stored.isEmpty():
+        raise ValueError("no term is within the limits")
+    # each term once: the counter only has to learn the list
+    counter = CountVectorizer(inputCol="term", outputCol="tf", vocabSize=max_terms, minDF=1.0).fit(
+        stored.select(F.array("term").alias("term")))
+    names = counter.vocabulary
+    order = df.sparkSession.createDataFrame(pd.DataFrame({"index": range(len(names)), "term": names}))
+    vocabulary = checkpointed(order.select(F.col("index").cast("int"), "term").join(stored, "term"))
+    weights = dict(vocabulary.select("index", "idf").toPandas().itertuples(index=False))
+    return Tfidf(vocabulary, documents, counter,
+                 Vectors.dense([weights[i] for i in range(len(weights))]), terms)

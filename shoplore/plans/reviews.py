@@ -12,7 +12,7 @@ from shoplore.functions.columns import binary_label, sentiment
 from shoplore.functions.text import clean_text, strip_emoticons, words
 from shoplore.operators.evaluation import classification_report
 from shoplore.operators.features import (Tfidf, fit_tfidf, stratified_split, with_class_weight)
-from shoplore.operators.models import NaiveBayes, fit_logistic, fit_naive_bayes
+from shoplore.operators.models import Logistic, NaiveBayes, fit_logistic, fit_naive_bayes
 
 
 def labelled_reviews(reviews: DataFrame, score: str, message: str, placeholder: str = "Not Defined",
@@ -39,6 +39,7 @@ class Comparison:
     tfidf: Tfidf
     logistic: DataFrame
     naive_bayes: DataFrame
+    logistic_model: Logistic
     bayes_model: NaiveBayes
 
     def reports(self) -> DataFrame:
@@ -59,12 +60,11 @@ def compare_models(prepared: DataFrame, key: str, split: str = "validation",
     tfidf = fit_tfidf(train, "text", terms=terms)
 
     weighted = with_class_weight(tfidf.vectors(train, "text"), "label")
-    columns = [key, "label", "features"]
-    logistic = fit_logistic(weighted, "features", "label", "weight").transform(
-        tfidf.vectors(judged, "text").select(*columns))
-    logistic = logistic.select(key, "label", F.col("predicted").cast("int").alias("predicted"))
+    model = fit_logistic(weighted, "features", "label", "weight")
+    logistic = model.predict(tfidf.vectors(judged, "text"), "features").select(
+        key, "label", "probability", "predicted")
 
     bayes = fit_naive_bayes(train, tfidf.weights(train, [key, "label"], "text"), "label")
     guessed = bayes.scores(judged, key, tfidf.weights(judged, [key], "text"))
     bayes_rows = judged.select(key, "label").join(guessed.select(key, "predicted"), key)
-    return Comparison(tfidf, logistic, bayes_rows, bayes)
+    return Comparison(tfidf, logistic, bayes_rows, model, bayes)
