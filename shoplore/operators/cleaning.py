@@ -35,7 +35,8 @@ def _keys(df: DataFrame, key: str) -> DataFrame:
 
 def _split_hot_keys(left: DataFrame, keys: DataFrame, salts: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """Spread each key of ``left`` over ``salts`` tasks. The salt is a hash of the row, not a random
-    number, so that a task that runs again sends its rows to the same places."""
+    number, so that a task that runs again sends its rows to the same places; rows that are equal in
+    every column share one."""
     salt = F.pmod(F.xxhash64(*[c for c in left.columns if c != "__key"]), F.lit(salts)).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (left.withColumn("__salt", salt), keys.withColumn("__salt", spread), ["__key", "__salt"])
