@@ -111,9 +111,8 @@ SELECT quality, word, n, round(n / most::DOUBLE, 6) AS relative FROM ranked WHER
 """)
 def word_freq_by_label(t: Tables):
     labelled = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id")
-    parts = [counting.top_words(counting.word_counts(labelled.filter(F.col("quality") == q), "text"))
-             .select(F.lit(q).alias("quality"), "word", "n", "relative") for q in (0, 1)]
-    return rounded(parts[0].unionByName(parts[1]), "relative")
+    top = counting.top_words(counting.word_counts(labelled, "text", by=["quality"]), by=["quality"])
+    return rounded(top, "relative")
 
 
 @proof(f"""

@@ -46,7 +46,7 @@ def sparse_parts(vector: str) -> tuple[Column, Column]:
 
 
 def fit_logistic(train: DataFrame, features: str, label: str, weight: str | None = None,
-                 strength: float = 1.0, iterations: int = 500, tolerance: float = 1e-6) -> Logistic:
+                 strength: float = 1.0, iterations: int = 500, tolerance: float = 1e-5) -> Logistic:
     """Minimise ``strength * sum(weight * loss) + |coefficients|^2 / 2``; the intercept is free.
 
     Each step of the limited-memory BFGS search is one pass over the stored rows, in which every task

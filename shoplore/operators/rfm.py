@@ -38,36 +38,50 @@ def recency(orders: DataFrame, as_of: str, c: Columns = Columns(), mode: str = "
     raise ValueError(f"mode is 'latest' or 'per_date', not {mode!r}")
 
 
-def monetary(orders: DataFrame, payments: DataFrame, c: Columns = Columns()) -> DataFrame:
-    """Sum of a customer's payments; orders without a payment do not count.
+def _paid(payments: DataFrame, c: Columns) -> DataFrame:
+    """What was paid per order, added up first so that an order with very many payments sends one row
+    per task."""
+    return (payments.filter(F.col(c.payment_order).isNotNull())
+            .groupBy(F.col(c.payment_order).alias(c.order))
+            .agg(F.sum(money(c.payment_value)).alias("__paid"), F.lit(True).alias("__found")))
 
-    Payments are summed per order before the join, so that an order with very many payments sends
-    one row per task. An order id that appears on several order rows counts once for each.
-    """
-    paid = (payments.groupBy(F.col(c.payment_order).alias("__order"))
-            .agg(F.sum(money(c.payment_value)).alias("__paid")))
-    return (orders.select(c.customer, F.col(c.order).alias("__order")).join(paid, "__order")
+
+def monetary(orders: DataFrame, payments: DataFrame, c: Columns = Columns()) -> DataFrame:
+    """Sum of a customer's payments; orders without a payment do not count. An order id that appears on
+    several order rows counts once for each."""
+    return (orders.select(c.customer, c.order).join(_paid(payments, c), c.order)
             .groupBy(c.customer).agg(F.sum("__paid").alias("monetary")))
 
 
+def _per_order(orders: DataFrame, payments: DataFrame, c: Columns) -> DataFrame:
+    """``(customer, order, __day, __paid, __found)``: one row per customer and order id."""
+    return (orders.select(c.customer, c.order, c.day).join(_paid(payments, c), c.order, "left")
+            .groupBy(c.customer, c.order)
+            .agg(F.max(c.day).alias("__day"), F.sum("__paid").alias("__paid"),
+                 F.max("__found").alias("__found")))
+
+
 def rfm(orders: DataFrame, payments: DataFrame, customers: DataFrame, as_of: str,
         c: Columns = Columns(), mode: str = "latest", drop_nonpositive: bool = False) -> DataFrame:
     """One profile row per customer (one per customer and order date with ``mode="per_date"``).
 
-    Frequency and recency come from one pass over the orders. All inputs of the final joins hold one
-    row per customer (or per customer and date), so no key is hot there.
+    Orders and payments meet once, spread by order; what remains of them is one row per customer and
+    order, summed up before it moves to its customer. Everything joined after that holds one row per
+    customer (or per customer and date), so no key is hot.
     """
-    if mode == "latest":
-        visits = orders.groupBy(c.customer).agg(
-            F.countDistinct(c.order).alias("frequency"),
-            days_since(F.max(c.day), as_of).alias("recency"))
-    else:
-        visits = frequency(orders, c).join(recency(orders, as_of, c, mode), c.customer)
-    spent = monetary(orders, payments, c)
+    bills = _per_order(orders, payments, c)
+    visits = bills.groupBy(c.customer).agg(
+        F.count(c.order).alias("frequency"), days_since(F.max("__day"), as_of).alias("recency"),
+        F.sum("__paid").alias("monetary"), F.count("__found").alias("__found"))
+    visits = visits.filter(F.col("__found") > 0).drop("__found")
     if drop_nonpositive:
-        spent = spent.filter(F.col("monetary") > 0)
-    who = customers.select(F.col(c.customer_key).alias(c.customer), *c.attributes).distinct()
-    return (visits.join(spent, c.customer).join(who, c.customer)
+        visits = visits.filter(F.col("monetary") > 0)
+    if mode != "latest":
+        visits = visits.drop("recency").join(recency(orders, as_of, c, mode), c.customer)
+    # spread by key alone: the removal of repeated rows and the join then share one shuffle
+    who = (customers.select(F.col(c.customer_key).alias(c.customer), *c.attributes)
+           .repartition(c.customer).distinct())
+    return (visits.join(who, c.customer)
             .select(c.customer, *c.attributes, "frequency", "recency", "monetary"))
 
 

@@ -77,20 +77,23 @@ def _centred_logs(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dic
 
 def _log_likelihoods(logs: DataFrame, facts: Mapping[str, tuple[int, float]],
                      grids: Mapping[str, Sequence[float]]) -> dict[str, list[float]]:
-    """Profile log-likelihood of every power of every column's grid, in one aggregate.
+    """Profile log-likelihood of every power of every column's grid, in one aggregate. The powers, a few
+    dozen per column, are joined to the values, so that the generated code stays small.
 
     With z = ln x - m and m the mean log, the value is -n m - n/2 ln var((e^(power z) - 1) / power);
     the centring keeps the powers within range.
     """
-    spreads = {}
-    for c, grid in grids.items():
-        for k, power in enumerate(grid):
-            z = F.col(c)
-            spread = z if power == 0 else F.expm1(z * F.lit(float(power))) / F.lit(float(power))
-            spreads[c, k] = F.var_pop(spread).alias(f"{len(spreads)}")
-    row = logs.agg(*spreads.values()).first()
-    variance = dict(zip(spreads, row))
-    return {c: [-facts[c][0] * facts[c][1] - facts[c][0] / 2 * math.log(variance[c, k])
+    spark = logs.sparkSession
+    points = spark.createDataFrame(
+        [(c, k, float(p)) for c, grid in grids.items() for k, p in enumerate(grid)],
+        "name string, place int, power double")
+    z, power = F.col("z"), F.col("power")
+    spread = F.when(power == 0, z).otherwise(F.expm1(z * power) / power)
+    variances = (logs.unpivot([], list(grids), "name", "z").filter(z.isNotNull())
+                 .join(F.broadcast(points), "name")
+                 .groupBy("name", "place").agg(F.var_pop(spread).alias("v")).collect())
+    found = {(r["name"], r["place"]): r["v"] for r in variances}
+    return {c: [-facts[c][0] * facts[c][1] - facts[c][0] / 2 * math.log(found[c, k])
                 for k in range(len(grid))] for c, grid in grids.items()}
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplore.functions.text import words
@@ -23,27 +23,36 @@ def default_stop_words(language: str = "portuguese") -> list[str]:
     return StopWordsRemover.loadDefaultStopWords(language)
 
 
+def drop_stop_words(tokens: str | Column, stop_words: Sequence[str]) -> Column:
+    """An array of words without the stop words, repeats kept."""
+    stops = F.array(*[F.lit(w.lower()) for w in stop_words])
+    return F.filter(tokens, lambda word: ~F.array_contains(stops, word))
+
+
 def word_counts(df: DataFrame, text: str, stop_words: Sequence[str] = (), keep_numbers: bool = True,
-                fold_plurals: bool = False) -> DataFrame:
-    """``(word, n)`` over all texts.
+                fold_plurals: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, word, n)`` over all texts, or over each subset that the columns ``by`` mark.
 
     Stop words, a list in the program, leave the counted vocabulary rather than the running text.
     ``fold_plurals`` adds a word in ``s`` to the same word without it where that one occurs too.
     """
-    counts = (df.select(F.explode(words(text)).alias("word"))
-              .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    groups = list(by)
+    counts = (df.select(*groups, F.explode(words(text)).alias("word"))
+              .groupBy(*groups, "word").agg(F.count(F.lit(1)).alias("n")))
     if stop_words:
         stops = df.sparkSession.createDataFrame([(w.lower(),) for w in stop_words], "word string")
-        counts = counts.join(F.broadcast(stops), "word", "left_anti")
+        counts = counts.join(F.broadcast(stops), "word", "left_anti").select(*groups, "word", "n")
     if not keep_numbers:
         counts = counts.filter(~F.col("word").rlike(r"^\p{Nd}+$"))
     if fold_plurals:
         plural = F.col("word").endswith("s") & ~F.col("word").endswith("ss")
         singular = F.when(plural, F.expr("substring(word, 1, length(word) - 1)"))
-        known = counts.select(F.col("word").alias("__known"))
-        counts = (counts.withColumn("__singular", singular)
-                  .join(known, F.col("__singular") == F.col("__known"), "left")
-                  .groupBy(F.coalesce("__known", "word").alias("word"))
+        known = counts.select(*[F.col(g).alias(f"__{g}") for g in groups], F.col("word").alias("__known"))
+        same = F.col("__singular") == F.col("__known")
+        for g in groups:
+            same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+        counts = (counts.withColumn("__singular", singular).join(known, same, "left")
+                  .groupBy(*groups, F.coalesce("__known", "word").alias("word"))
                   .agg(F.sum("n").alias("n")))
     return counts
 
@@ -54,9 +63,17 @@ def with_relative_frequency(counts: DataFrame) -> DataFrame:
     return counts.withColumn("relative", F.col("n") / largest)
 
 
-def top_words(counts: DataFrame, k: int = 20) -> DataFrame:
-    """The ``k`` most frequent words with count and relative frequency; ties in word order."""
-    return with_relative_frequency(counts).orderBy(F.col("n").desc(), "word").limit(k)
+def top_words(counts: DataFrame, k: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` most frequent words, per subset ``by``, with count and frequency relative to the first
+    of them; ties in word order. Each task cuts its words to ``k`` before they meet."""
+    order = [F.col("n").desc(), F.col("word")]
+    if by:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        top = counts.withColumn("__place", place).filter(F.col("__place") <= k).drop("__place")
+    else:
+        top = counts.orderBy(*order).limit(k)
+    most = F.max("n").over(Window.partitionBy(*(by or [F.lit(0)])))
+    return top.withColumn("relative", F.col("n") / most)
 
 
 def stems_of(stemmer: Callable[[str], str]) -> Callable[[str | Column], Column]:

@@ -43,11 +43,19 @@ def test_profile_per_date_repeats_customers(shop):
         rfm.recency(shop[0], "2018-08-29", mode="first")
 
 
-def test_profile_is_shuffle_frugal(shop):
-    """Frequency and recency share one scan of the orders."""
-    orders, payments, customers = shop
-    plan = rfm.rfm(orders, payments, customers, "2018-08-29")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join Inner") == 3 and "CartesianProduct" not in plan
+def test_profile_moves_each_table_once(spark, tmp_path, shop):
+    """One shuffle each for orders, payments and customers by their keys, and one by customer."""
+    names = ("orders", "payments", "customers")
+    for name, df in zip(names, shop):
+        df.write.parquet(str(tmp_path / name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = [spark.read.parquet(str(tmp_path / name)) for name in names]
+        plan = rfm.rfm(*stored, "2018-08-29")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 4 and plan.count("FileScan") == 3
+    assert "SinglePartition" not in plan and "Cartesian" not in plan
 
 
 @pytest.fixture(scope="module")

@@ -94,6 +94,17 @@ def test_top_words_break_ties_by_word(notes):
     assert rows == [("de", 3, 1.0), ("carro", 2, pytest.approx(2 / 3)), ("12", 1, pytest.approx(1 / 3))]
 
 
+def test_words_per_subset(notes):
+    counts = W.word_counts(notes, "t", ["de"], fold_plurals=True, by=["i"])
+    rows = [tuple(r) for r in W.top_words(counts, 2, by=["i"]).orderBy("i", F.desc("n"), "word").collect()]
+    assert rows == [(1, "carro", 2, 1.0), (1, "12", 1, 0.5), (2, "carro", 1, 1.0), (2, "passs", 1, 1.0)]
+
+
+def test_stop_words_of_arrays(notes):
+    kept = notes.select("i", W.drop_stop_words(T.words("t"), ["De"]).alias("w")).orderBy("i").collect()
+    assert kept[1]["w"] == ["carro", "passss", "passs"]
+
+
 def test_stems_of_vocabulary_and_of_arrays(notes):
     def stem(word):
         return word.rstrip("s")
