@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shoplore.functions.columns import money
 from shoplore.operators.cleaning import delete_orphans
 from shoplore.operators.ordered import with_ranks
+from shoplore.session import checkpointed
 
 
 def enrich_items(items: DataFrame, products: DataFrame, categories: DataFrame,
@@ -112,10 +113,13 @@ def orders_over_sellers(items: DataFrame, products: DataFrame, categories: Seque
                         more_than: int = 0) -> DataFrame:
     """One row about the sellers with more than ``more_than`` orders in the given categories: how many
     they are, their orders added up (an order of several sellers counts for each), and their distinct
-    orders."""
+    orders. Items without a seller are left out."""
     goods = products.filter(F.col(category).isin(list(categories))).select(F.col(product_key).alias(product))
-    pairs = items.select(seller, order, product).join(goods, product, "left_semi").select(
-        seller, order).distinct()
+    pairs = (items.filter(F.col(seller).isNotNull()).select(seller, order, product)
+             .join(goods, product, "left_semi").select(seller, order).distinct())
+    if more_than > 0:
+        # read twice below, and worth storing: it is what the items come down to
+        pairs = checkpointed(pairs)
     sellers = (pairs.groupBy(seller).agg(F.count(order).alias("num_orders"))
                .filter(F.col("num_orders") > more_than))
     kept = pairs
