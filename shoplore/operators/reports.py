@@ -59,12 +59,25 @@ def orders_by_year(orders: DataFrame, day: str, order: str) -> DataFrame:
 
 
 def orders_by_place(orders: DataFrame, customers: DataFrame, places: DataFrame, by: Sequence[str],
-                    order: str, customer: str, customer_key: str, place: str, place_key: str) -> DataFrame:
-    """Distinct orders by any columns of the places their customers live in, largest first."""
+                    order: str, customer: str, customer_key: str, place: str, place_key: str,
+                    unique_orders: bool = False) -> DataFrame:
+    """Distinct orders by any columns of the places their customers live in, largest first.
+
+    Where order ids are known to be unique and customers too, ``unique_orders=True`` counts orders per
+    customer, then per place, before each join, so that neither sends more than one row per task.
+    """
     homes = customers.select(F.col(customer_key).alias("__customer"), F.col(place).alias("__place"))
-    sited = (orders.select(order, F.col(customer).alias("__customer")).join(homes, "__customer")
-             .join(places, F.col("__place") == F.col(place_key)))
-    return largest_first(distinct_counts_by(sited, list(by), {"orders_cnt": order}), "orders_cnt", *by)
+    bought = orders.select(order, F.col(customer).alias("__customer"))
+    if unique_orders:
+        bought = bought.groupBy("__customer").agg(F.count(order).alias("__n"))
+        count = F.sum("__n")
+    else:
+        count = F.countDistinct(order)
+    sited = bought.join(homes, "__customer")
+    if unique_orders:
+        sited = sited.groupBy("__place").agg(F.sum("__n").alias("__n"))
+    sited = sited.join(places, F.col("__place") == F.col(place_key))
+    return largest_first(sited.groupBy(*by).agg(count.alias("orders_cnt")), "orders_cnt", *by)
 
 
 def category_sales(items: DataFrame, products: DataFrame, categories: DataFrame | None, by: Sequence[str],

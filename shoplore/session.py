@@ -19,6 +19,7 @@ def build_session(app_name: str = "shoplore", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.checkpoint.compress": "true",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app_name)

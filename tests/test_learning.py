@@ -65,6 +65,8 @@ def test_terms_may_be_stems(docs):
     stems = stem_arrays(lambda w: w[:3])
     fitted = features.fit_tfidf(docs, "t", max_df=1.0, terms=lambda c: stems(words(c)))
     assert {r["term"] for r in fitted.vocabulary.collect()} == {"goo", "pro", "pri", "bad", "lat", "sel", "the"}
+    long = {(r["i"], r["term"]): r["tf"] for r in fitted.weights(docs, ["i"], "t").collect()}
+    assert long[0, "goo"] == 2 and long[3, "lat"] == 2 and (6, "goo") not in long
 
 
 def test_fit_on_training_rows_ignores_new_words(docs, spark):
