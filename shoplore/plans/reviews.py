@@ -13,6 +13,7 @@ from shoplore.functions.text import clean_text, strip_emoticons, words
 from shoplore.operators.evaluation import classification_report
 from shoplore.operators.features import (Tfidf, fit_tfidf, stratified_split, with_class_weight)
 from shoplore.operators.models import Logistic, NaiveBayes, fit_logistic, fit_naive_bayes
+from shoplore.session import checkpointed
 
 
 def labelled_reviews(reviews: DataFrame, score: str, message: str, placeholder: str = "Not Defined",
@@ -54,17 +55,22 @@ class Comparison:
 
 def compare_models(prepared: DataFrame, key: str, split: str = "validation",
                    terms: Callable[[str], Column] = words) -> Comparison:
-    """Fit both classifiers on the training rows and predict the rows of ``split``."""
-    train = prepared.filter(F.col("split") == "train")
-    judged = prepared.filter(F.col("split") == split)
-    tfidf = fit_tfidf(train, "text", terms=terms)
+    """Fit both classifiers on the training rows and predict the rows of ``split``.
 
-    weighted = with_class_weight(tfidf.vectors(train, "text"), "label")
+    The texts of both are split into terms once and stored, as five later passes read them.
+    """
+    stored = checkpointed(prepared.filter(F.col("split").isin("train", split))
+                          .select(key, "label", "split", terms("text").alias("terms")))
+    train = stored.filter(F.col("split") == "train")
+    judged = stored.filter(F.col("split") == split)
+    tfidf = fit_tfidf(train, "terms", terms=F.col)
+
+    weighted = with_class_weight(tfidf.vectors(train, "terms"), "label")
     model = fit_logistic(weighted, "features", "label", "weight")
-    logistic = model.predict(tfidf.vectors(judged, "text"), "features").select(
+    logistic = model.predict(tfidf.vectors(judged, "terms"), "features").select(
         key, "label", "probability", "predicted")
 
-    bayes = fit_naive_bayes(train, tfidf.weights(train, [key, "label"], "text"), "label")
-    guessed = bayes.scores(judged, key, tfidf.weights(judged, [key], "text"))
+    bayes = fit_naive_bayes(train, tfidf.weights(train, [key, "label"], "terms"), "label")
+    guessed = bayes.scores(judged, key, tfidf.weights(judged, [key], "terms"))
     bayes_rows = judged.select(key, "label").join(guessed.select(key, "predicted"), key)
     return Comparison(tfidf, logistic, bayes_rows, model, bayes)
