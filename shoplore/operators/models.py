@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, predict_batch_udf
+from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,12 +47,14 @@ def sparse_parts(vector: str) -> tuple[Column, Column]:
 
 
 def fit_logistic(train: DataFrame, features: str, label: str, weight: str | None = None,
-                 strength: float = 1.0, iterations: int = 500, tolerance: float = 1e-5) -> Logistic:
+                 strength: float = 1.0, iterations: int = 500, tolerance: float = 1e-5,
+                 direct_bytes: int = 64 << 20) -> Logistic:
     """Minimise ``strength * sum(weight * loss) + |coefficients|^2 / 2``; the intercept is free.
 
     Each step of the limited-memory BFGS search is one pass over the stored rows, in which every task
-    adds up its own part of the gradient; the parts are added in groups on the executors before the
-    driver adds the groups. The library's own solver divides every feature by its deviation first.
+    adds up its own part of the gradient. The driver adds the parts, or where together they exceed
+    ``direct_bytes``, the executors first add them in as many groups as the root of their number. The
+    library's own solver divides every feature by its deviation first.
     For rare words that spoils the conditioning of this objective: it is still falling after 500
     passes where this search is done in some tens.
     """
@@ -60,26 +63,33 @@ def fit_logistic(train: DataFrame, features: str, label: str, weight: str | None
     rows = checkpointed(train.select(
         indices.alias("i"), values.alias("v"), F.col(label).cast("double").alias("y"),
         weights.cast("double").alias("w"), F.unwrap_udt(features)["size"].alias("size"))
-        ).withColumn("part", F.spark_partition_id())
+        ).withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     facts = rows.agg(F.sum("w").alias("mass"), F.max(F.coalesce("size", F.size("v"))).alias("size"),
                      F.countDistinct("part").alias("parts")).first()
     mass, size = facts["mass"], facts["size"]
     groups = max(1, math.isqrt(facts["parts"]))
+    few = facts["parts"] * (size + 1) * 8 <= direct_bytes
     penalty = 1.0 / (strength * mass)
     context = train.sparkSession.sparkContext
 
     def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
         sent = context.broadcast(x)
         parts = rows.select("i", "v", "y", "w", F.pmod("part", F.lit(groups)).alias("g"))
-        sums = (parts.mapInArrow(_logistic_part(sent), "g int, loss double, slope array<double>")
-                .groupBy("g").agg(F.sum("loss").alias("loss"),
-                                  Summarizer.sum(array_to_vector("slope")).alias("slope")).collect())
+        sums = parts.mapInArrow(_logistic_part(sent), "g int, loss double, slope array<double>")
+        if not few:
+            added = vector_to_array(Summarizer.sum(array_to_vector("slope")))
+            sums = sums.groupBy("g").agg(F.sum("loss").alias("loss"), added.alias("slope"))
+        table = sums.select("loss", "slope").toArrow()
         sent.unpersist()
-        slope = sum(r["slope"].toArray() for r in sums) / mass
+        slopes = table["slope"].combine_chunks().flatten().to_numpy().reshape(-1, size + 1)
+        slope, loss = slopes.sum(axis=0) / mass, table["loss"].to_numpy().sum() / mass
         slope[:-1] += penalty * x[:-1]
-        return sum(r["loss"] for r in sums) / mass + penalty / 2 * float(x[:-1] @ x[:-1]), slope
+        return loss + penalty / 2 * float(x[:-1] @ x[:-1]), slope
 
-    best = _minimise(evaluate, np.zeros(size + 1), iterations, tolerance)
+    try:
+        best = _minimise(evaluate, np.zeros(size + 1), iterations, tolerance)
+    finally:
+        rows.unpersist()
     return Logistic([float(c) for c in best[:-1]], float(best[-1]))
 
 

@@ -105,10 +105,12 @@ def test_class_weights(docs):
 
 
 @pytest.mark.usefixtures("many_partitions")
-def test_logistic_fit_has_no_gradient_left(docs):
+@pytest.mark.parametrize("direct_bytes", [0, 1 << 20])
+def test_logistic_fit_has_no_gradient_left(docs, direct_bytes):
     fitted = features.fit_tfidf(docs, "t", max_df=1.0)
     rows = features.with_class_weight(fitted.vectors(docs, "t"), "y").repartition(5)
-    model = models.fit_logistic(rows, "features", "y", "weight", tolerance=1e-9)
+    model = models.fit_logistic(rows, "features", "y", "weight", tolerance=1e-9,
+                                direct_bytes=direct_bytes)
     terms, x = tfidf_matrix()
     order = {r["term"]: r["index"] for r in fitted.vocabulary.collect()}
     beta = np.array([model.coefficients[order[t]] for t in terms])
