@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from proofs.registry import Tables, proof, rounded
 from proofs.texts import TOKENS_SQL, clean_sql
 from shoplore.functions import columns
+from shoplore.functions.text import words
 from shoplore.operators import evaluation, features, models, ordered
 from shoplore.plans.reviews import compare_models, prepared_reviews
 from shoplore.session import checkpointed
@@ -123,11 +124,12 @@ SELECT doc_id, round(score_0, 6) AS score_0, round(score_1, 6) AS score_1,
        CASE WHEN score_0 >= score_1 THEN 0 ELSE 1 END AS predicted FROM scores
 """)
 def naive_bayes(t: Tables):
-    prepared = _prepared(t)
-    train, judged = (prepared.filter(F.col("split") == s) for s in ("train", "validation"))
-    fitted = features.fit_tfidf(train, "text")
-    model = models.fit_naive_bayes(train, fitted.weights(train, ["doc_id", "label"], "text"), "label")
-    scores = model.scores(judged, "doc_id", fitted.weights(judged, ["doc_id"], "text"))
+    prepared = prepared_reviews(_reviews(t), "doc_id", "score", "text")
+    stored = checkpointed(prepared.select("doc_id", "label", "split", words("text").alias("terms")))
+    train, judged = (stored.filter(F.col("split") == s) for s in ("train", "validation"))
+    fitted = features.fit_tfidf(train, "terms", terms=F.col)
+    model = models.fit_naive_bayes(train, fitted.weights(train, ["doc_id", "label"], "terms"), "label")
+    scores = model.scores(judged, "doc_id", fitted.weights(judged, ["doc_id"], "terms"))
     return rounded(scores, "score_0", "score_1")
 
 
