@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoplore.llm.bpe import bpe_digest, load_tokenizer
+from shoplore.llm.language import language_predictions
 from shoplore.llm.quality_rules import BOILERPLATE, quality_rules
 from shoplore.llm.registry import QUERIES, query
+from shoplore.llm.shards import shuffle_into_shards
 from shoplore.llm.simhash import fingerprint_hex, simhash_components
 
 __all__ = ["QUERIES"]
@@ -71,3 +73,19 @@ def op9_simhash(table):
     found = simhash_components(table("documents"))
     return found.select("doc_id", fingerprint_hex("fingerprint").alias("fingerprint"),
                         F.col("component_id").cast("long").alias("component_id"))
+
+
+@query()
+def op5_language(table):
+    return language_predictions(table("documents"))
+
+
+@query()
+def op10_shards(table):
+    text = F.coalesce("text", F.lit(""))
+    measured = table("documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    return shuffle_into_shards(measured).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
+        "slot", F.lit(None).cast("int").alias("grown_shard"))
