@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shoplore.llm.bpe import bpe_digest, load_tokenizer
 from shoplore.llm.language import language_predictions
+from shoplore.llm.pu_quality import quality_scores
 from shoplore.llm.quality_rules import BOILERPLATE, quality_rules
 from shoplore.llm.registry import QUERIES, query
 from shoplore.llm.shards import shuffle_into_shards
@@ -89,3 +90,8 @@ def op10_shards(table):
     return shuffle_into_shards(measured).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
         "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op1_quality(table):
+    return quality_scores(table("documents"), table("labels"))
