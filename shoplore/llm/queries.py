@@ -11,6 +11,7 @@ from shoplore.llm.quality_rules import BOILERPLATE, quality_rules
 from shoplore.llm.registry import QUERIES, query
 from shoplore.llm.shards import shuffle_into_shards
 from shoplore.llm.simhash import fingerprint_hex, simhash_components
+from shoplore.llm.toxicity import toxicity_scores
 
 __all__ = ["QUERIES"]
 
@@ -95,3 +96,8 @@ def op10_shards(table):
 @query()
 def op1_quality(table):
     return quality_scores(table("documents"), table("labels"))
+
+
+@query()
+def op6_toxicity(table):
+    return toxicity_scores(table("documents"), table("labels"))
