@@ -11,6 +11,7 @@ from shoplore.llm.quality_rules import BOILERPLATE, quality_rules
 from shoplore.llm.registry import QUERIES, query
 from shoplore.llm.shards import shuffle_into_shards
 from shoplore.llm.simhash import fingerprint_hex, simhash_components
+from shoplore.llm.tiling import leaked_items
 from shoplore.llm.toxicity import toxicity_scores
 
 __all__ = ["QUERIES"]
@@ -101,3 +102,8 @@ def op1_quality(table):
 @query()
 def op6_toxicity(table):
     return toxicity_scores(table("documents"), table("labels"))
+
+
+@query()
+def op3_decontamination(table):
+    return leaked_items(table("documents"), table("benchmark"))
