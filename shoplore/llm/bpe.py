@@ -279,21 +279,27 @@ def bpe_decode(df: DataFrame, tokenizer: Broadcast, ids: str = "ids", out: str =
     return df.withColumn(out, decoded(F.col(ids)))
 
 
-def bpe_digest(df: DataFrame, tokenizer: Broadcast, key: str = "doc_id", text: str = "text") -> DataFrame:
+def bpe_digest(df: DataFrame, tokenizer: Broadcast, key: str = "doc_id", text: str = "text",
+               ids: str | None = None) -> DataFrame:
     """``key``, ``n_tokens``, and SHA-256 of the ids and of the text decoded from them.
 
-    Encodes and decodes like :func:`bpe_encode` and :func:`bpe_decode`, but the ids do not leave the worker.
+    Encodes and decodes like :func:`bpe_encode` and :func:`bpe_decode`; the ids leave the worker only
+    if ``ids`` names a column for them.
     """
     def make():
         coder = _coder(tokenizer)
 
         def work(texts):
+            import numpy as np
+
             found = coder.encode(texts)
             sha = hashlib.sha256
-            return [[len(x) // 4 for x in found], [sha(x).hexdigest() for x in found],
-                    [sha(coder.decode_bytes(x).encode()).hexdigest() for x in found]]
+            out = [[len(x) // 4 for x in found], [sha(x).hexdigest() for x in found],
+                   [sha(coder.decode_bytes(x).encode()).hexdigest() for x in found]]
+            return out + ([[np.frombuffer(x, dtype="<u4").astype(np.int32) for x in found]] if ids else [])
 
         return work
 
-    return per_text(df, key, text, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
-                                    T.StructField("decoded_sha256", T.StringType())], make)
+    return per_text(df, key, text, [
+        T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
+        *([T.StructField(ids, T.ArrayType(T.IntegerType(), False))] if ids else [])], make)

@@ -189,3 +189,24 @@ def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     roots = (named.groupBy("component").agg(F.min("least").alias("component_id")))
     classes = named.join(roots, "component").select("fingerprint", "component_id")
     return prints.join(classes, "fingerprint").select(key, "fingerprint", "component_id")
+
+
+def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
+                        max_bits: int = 3) -> DataFrame:
+    """One row of each component, the one with the smallest key, with all its columns.
+
+    Null keys come last; rows with equal keys are told apart by their texts, and of rows that repeat
+    both one stays. The survivors' rows cross the network once, by key and text hash.
+    """
+    k, h = fresh(df.columns, "row_key", "text_hash")
+    # a null key must join and must not look like an empty one
+    named = df.withColumns({k: F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit("")),
+                            h: F.xxhash64(F.col(f"`{text}`"))})
+    rank = F.struct(F.col(f"`{key}`").isNull().alias("no_key"), F.col(f"`{key}`").alias("key"), F.col(k).alias("k"), F.col(h).alias("h"))
+    prints = checkpointed(fingerprints(named.select(rank.alias("rank"), F.col(f"`{text}`").alias("text")), "rank", "text", shingle))
+    least = prints.groupBy("fingerprint").agg(F.min("rank").alias("least"))
+    linked = connected_components(near_links(least.select("fingerprint"), max_bits=max_bits))
+    stay = (least.join(linked, least["fingerprint"] == linked["vertex"], "left")
+            .groupBy(F.coalesce("component", "fingerprint").alias("component")).agg(F.min("least").alias("stays"))
+            .select(F.col("stays.k").alias(k), F.col("stays.h").alias(h)))
+    return named.join(stay, [k, h], "left_semi").dropDuplicates([k, h]).select(*[F.col(f"`{c}`") for c in df.columns])

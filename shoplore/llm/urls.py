@@ -108,8 +108,8 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html
     ends = links.select(F.col("left").alias("at"), told(F.col("url")).alias("told")).unionByName(
         links.select(F.col("right").alias("at"), told(F.col("target")).alias("told")))
     # pages that are spelt like an end of a link but have another path vote as well
-    voters = pages.select(url_node(own).alias("at"), told(own).alias("told")).dropna().distinct()
-    votes = ends.dropna().unionByName(voters).distinct()
+    voters = pages.select(url_node(own).alias("at"), told(own).alias("told"))
+    votes = ends.unionByName(voters).dropna()
     classes = (votes.join(linked, votes["at"] == linked["vertex"]).groupBy("component")
                .agg(F.bool_or(F.col("told") == "allow").alias("allowed"), F.bool_or(F.col("told") == "block").alias("blocked"))
                .filter("blocked AND NOT allowed").select("component"))
