@@ -132,8 +132,8 @@ def identify_languages(df: DataFrame, profiles: dict[str, list[float]], key: str
     def make():
         import numpy as np
 
-        known = np.array([profiles[n] for n in names], dtype=np.float32).reshape(len(names), -1)
-        known = known / np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-12) if names else known
+        known = np.array([profiles[n] for n in names], dtype=np.float32).reshape(len(names), space.dims)
+        known = known / np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-12)
 
         def work(texts):
             found = [_grams(t, space.n) if t and names else None for t in texts]

@@ -222,7 +222,11 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         measured.join(_sample(known, key, settings.fit_rows, sizes["n"]), key)
         .withColumn("part", F.pmod(F.xxhash64(F.lit("calibrate"), key), F.lit(5)))).select("features", "y", "part"))
     tree_rows, other_rows = training.filter("part > 0"), training.filter("part = 0")
-    if tree_rows.select("y").distinct().count() < 2 or other_rows.isEmpty():
+    found = training.agg(F.count_distinct("y").alias("all"), F.count_distinct(F.when(F.col("part") > 0, F.col("y"))).alias("tree"),
+                         F.count_if(F.col("part") == 0).alias("other")).first()
+    if found["all"] < 2:  # labels of documents that are not there
+        return final(docs.withColumn("score", F.lit(sizes["bad"] / sizes["n"])))
+    if found["tree"] < 2 or not found["other"]:
         tree_rows = other_rows = training
     trees = GBTClassifier(labelCol="y", maxIter=settings.trees, maxDepth=settings.depth, stepSize=settings.step,
                           seed=settings.seed, predictionCol="guess").fit(tree_rows)
