@@ -204,7 +204,7 @@ def classification_report(t: Tables):
 
 @proof("""
 SELECT quality AS actual, count(*) FILTER (toxic = 0) AS predicted_0,
-       count(*) FILTER (toxic = 1) AS predicted_1 FROM labels GROUP BY 1
+       count(*) FILTER (toxic = 1) AS predicted_1, CAST(0 AS BIGINT) AS predicted_other FROM labels GROUP BY 1
 """)
 def confusion_matrix(t: Tables):
     return evaluation.confusion_matrix(t.labels, "quality", "toxic")

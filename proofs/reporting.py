@@ -9,8 +9,15 @@ from proofs.registry import NET_PRICE_SQL, Tables, net_price, proof, rounded
 from shoplore.operators import reports
 from shoplore.sources.files import read_table
 
-CATEGORIES = ["Brand#2", "Brand#9", "Brand#17"]
-CATEGORIES_SQL = "('Brand#2', 'Brand#9', 'Brand#17')"
+CATEGORIES = ["BRAND#2", "BRAND#9", "BRAND#17"]
+# the category table: English names for all brands but some
+NAMES_SQL = """names AS (SELECT DISTINCT p_brand, upper(p_brand) AS brand_label FROM part
+WHERE p_brand NOT IN ('Brand#1', 'Brand#17'))"""
+
+
+def _names(t: Tables):
+    return (t.part.filter("p_brand not in ('Brand#1', 'Brand#17')")
+            .select("p_brand", F.upper("p_brand").alias("brand_label")).distinct())
 
 
 @proof("""
@@ -32,19 +39,24 @@ def typed_projection(t: Tables):
         F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("order_dt"))
 
 
-def _by_place(t: Tables, places, by, unique_orders=True):
-    return reports.orders_by_place(t.orders, t.customer, places, by, "o_orderkey", "o_custkey",
-                                   "c_custkey", "c_nationkey", "n_nationkey", unique_orders)
+def _by_place(t: Tables, places, by, repeated=False):
+    """``repeated`` gives orders of one status twice, as a table with repeated order ids would."""
+    orders = t.orders.unionByName(t.orders.filter("o_orderstatus = 'F'")) if repeated else t.orders
+    return reports.orders_by_place(orders, t.customer, places, by, "o_orderkey", "o_custkey",
+                                   "c_custkey", "c_nationkey", "n_nationkey")
 
 
-@proof("""
+REPEATED_SQL = "(SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'F')"
+
+
+@proof(f"""
 SELECT n_name, count(DISTINCT o_orderkey) AS orders_cnt
-FROM orders, customer, nation
+FROM {REPEATED_SQL}, customer, nation
 WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey
 GROUP BY n_name
 """)
 def orders_by_nation(t: Tables):
-    return _by_place(t, t.nation, ["n_name"])
+    return _by_place(t, t.nation, ["n_name"], repeated=True)
 
 
 @proof("""
@@ -72,21 +84,17 @@ def orders_by_nation_population(t: Tables):
               .agg(F.count(F.lit(1)).alias("population")))
     places = (t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
               .join(people, "n_nationkey"))
-    return _by_place(t, places, ["n_name", "r_name", "population"], unique_orders=False)
+    return _by_place(t, places, ["n_name", "r_name", "population"])
 
 
-@proof("""
-WITH goods AS (SELECT p_partkey, p_brand FROM part WHERE p_size <= 40),
-names AS (SELECT DISTINCT p_brand, upper(p_brand) AS brand_label FROM part WHERE p_brand <> 'Brand#1')
-SELECT l_orderkey, l_linenumber, l_partkey, goods.p_brand, brand_label
+@proof(f"""
+WITH goods AS (SELECT p_partkey, p_brand FROM part WHERE p_size <= 40), {NAMES_SQL}
+SELECT lineitem.*, goods.p_brand, brand_label
 FROM lineitem LEFT JOIN goods ON l_partkey = p_partkey LEFT JOIN names ON goods.p_brand = names.p_brand
 """)
 def item_enrichment(t: Tables):
     goods = t.part.filter("p_size <= 40").withColumnRenamed("p_partkey", "l_partkey")
-    names = (t.part.filter("p_brand <> 'Brand#1'")
-             .select("p_brand", F.upper("p_brand").alias("brand_label")).distinct())
-    items = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
-    return reports.enrich_items(items, goods, names, "l_partkey", "p_brand")
+    return reports.enrich_items(t.lineitem, goods, _names(t), "l_partkey", "p_brand")
 
 
 @proof("SELECT l_suppkey, count(DISTINCT l_orderkey) AS orders_cnt FROM lineitem GROUP BY 1")
@@ -104,29 +112,30 @@ def kpi_distincts(t: Tables):
 
 
 def _sales(t: Tables):
-    return reports.category_sales(t.lineitem, t.part, None, ["p_brand"], "l_orderkey", "l_partkey",
+    return reports.category_sales(t.lineitem, t.part, _names(t), ["brand_label"], "l_orderkey", "l_partkey",
                                   "p_partkey", "p_brand", "l_extendedprice")
 
 
-SALES_SQL = """
-SELECT p_brand, count(DISTINCT l_orderkey) AS orders_cnt,
+SALES_SQL = f"""
+WITH {NAMES_SQL}
+SELECT brand_label, count(DISTINCT l_orderkey) AS orders_cnt,
        sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS revenue
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN names USING (p_brand) GROUP BY 1
 """
 
 
-@proof(f"SELECT p_brand, orders_cnt, CAST(revenue AS DOUBLE) AS revenue FROM ({SALES_SQL})")
+@proof(f"SELECT brand_label, orders_cnt, CAST(revenue AS DOUBLE) AS revenue FROM ({SALES_SQL})")
 def category_popularity_revenue(t: Tables):
-    return rounded(reports.largest_first(_sales(t), "revenue", "p_brand"), "revenue", places=2)
+    return rounded(reports.largest_first(_sales(t), "revenue", "brand_label"), "revenue", places=2)
 
 
 @proof(f"""
-SELECT p_brand, rank() OVER (ORDER BY orders_cnt DESC) AS pop_ranking,
+SELECT brand_label, rank() OVER (ORDER BY orders_cnt DESC) AS pop_ranking,
        rank() OVER (ORDER BY revenue DESC) AS rev_ranks
-FROM ({SALES_SQL}) ORDER BY pop_ranking, p_brand LIMIT 10
+FROM ({SALES_SQL}) ORDER BY pop_ranking, brand_label LIMIT 10
 """)
 def category_dual_rank(t: Tables):
-    return reports.rank_categories(_sales(t), "p_brand", 10)
+    return reports.rank_categories(_sales(t), "brand_label", 10)
 
 
 @proof("SELECT min(l_extendedprice) AS min_price FROM lineitem")
@@ -158,36 +167,44 @@ def orders_by_year(t: Tables):
 
 
 @proof(f"""
-WITH wanted AS (SELECT l_suppkey, l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey
-                WHERE p_brand IN {CATEGORIES_SQL}),
+WITH {NAMES_SQL},
+wanted AS (SELECT l_suppkey, l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey JOIN names USING (p_brand)
+           WHERE brand_label IN ('BRAND#2', 'BRAND#9', 'BRAND#17')),
 sellers AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS num_orders FROM wanted GROUP BY 1
-            HAVING count(DISTINCT l_orderkey) > 70)
+            HAVING count(DISTINCT l_orderkey) > 40)
 SELECT count(*) AS sellers_cnt, CAST(sum(num_orders) AS BIGINT) AS orders_summed_over_sellers,
        (SELECT count(DISTINCT l_orderkey) FROM wanted
         WHERE l_suppkey IN (SELECT l_suppkey FROM sellers)) AS distinct_orders
 FROM sellers
 """)
 def orders_in_categories(t: Tables):
-    return reports.orders_over_sellers(t.lineitem, t.part, CATEGORIES, "l_suppkey", "l_orderkey",
-                                       "l_partkey", "p_partkey", "p_brand", more_than=70)
+    return reports.orders_over_sellers(t.lineitem, t.part, _names(t), CATEGORIES, "l_suppkey", "l_orderkey",
+                                       "l_partkey", "p_partkey", "p_brand", "brand_label", more_than=40)
 
 
-@proof("""
+@proof(f"""
+WITH {NAMES_SQL}
 SELECT l_suppkey, count(DISTINCT p_brand) AS categories_cnt, count(DISTINCT l_partkey) AS products_cnt
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN names USING (p_brand) GROUP BY 1
 """)
 def seller_specialisation(t: Tables):
-    return reports.seller_specialisation(t.lineitem, t.part, "l_suppkey", "l_partkey", "p_partkey",
-                                         "p_brand")
+    return reports.seller_specialisation(t.lineitem, t.part, _names(t), "l_suppkey", "l_partkey", "p_partkey",
+                                         "p_brand", "brand_label")
 
 
-@proof("""
-SELECT p_brand, count(DISTINCT l_suppkey) AS sellers_cnt
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
+@proof(f"""
+WITH {NAMES_SQL}
+SELECT brand_label, count(DISTINCT l_suppkey) AS sellers_cnt
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN names USING (p_brand) GROUP BY 1
 """)
 def sellers_per_category(t: Tables):
-    return reports.sellers_per_category(t.lineitem, t.part, "l_suppkey", "l_partkey", "p_partkey",
-                                        "p_brand")
+    return reports.sellers_per_category(t.lineitem, t.part, _names(t), "l_suppkey", "l_partkey", "p_partkey",
+                                        "p_brand", "brand_label")
+
+
+@proof("SELECT o_orderstatus, count(DISTINCT o_orderkey) AS orders_cnt FROM orders GROUP BY 1")
+def orders_by_status(t: Tables):
+    return reports.distinct_counts_by(t.orders, ["o_orderstatus"], {"orders_cnt": "o_orderkey"})
 
 
 @proof("SELECT l_orderkey, count(DISTINCT l_suppkey) AS num_sellers FROM lineitem GROUP BY 1")

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from proofs.registry import Tables, proof, rounded
 from shoplore.operators import cleaning, quality
-from shoplore.plans.marketplace import Names, clean_all
-from shoplore.plans.marketplace import clean_audit as audit_of
+from shoplore.plans.marketplace import Names, clean
 from shoplore.session import checkpointed
 from shoplore.sources.files import add_reference_rows
 
@@ -57,14 +56,25 @@ def null_counts(t: Tables):
     return quality.null_counts(_holed_orders(t))
 
 
-@proof("""
-SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN
-(SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= DATE '2000-06-01')
+SHIFT = 1_000_000_000
+
+
+def _with_orphans(df, key: str):
+    """A table and, under shifted keys that nothing refers to, its rows with an odd key once more."""
+    return df.unionByName(df.filter(f"{key} % 2 = 1").withColumn(key, F.col(key) + SHIFT))
+
+
+def with_orphans_sql(table: str, key: str) -> str:
+    return f"""(SELECT * FROM {table} UNION ALL
+                SELECT * REPLACE ({key} + {SHIFT} AS {key}) FROM {table} WHERE {key} % 2 = 1)"""
+
+
+@proof(f"""
+SELECT c_custkey, c_name FROM {with_orphans_sql('customer', 'c_custkey')} WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
 """)
 def orphans_not_in(t: Tables):
-    recent = t.orders.filter("o_orderstatus = 'F' and o_orderdate >= timestamp_ntz'2000-06-01'")
-    return cleaning.orphans(t.customer.select("c_custkey", "c_name"), recent, "c_custkey", "o_custkey",
-                            null_aware=True)
+    customers = _with_orphans(t.customer, "c_custkey").select("c_custkey", "c_name")
+    return cleaning.orphans(customers, t.orders, "c_custkey", "o_custkey", null_aware=True)
 
 
 @proof("""
@@ -141,23 +151,25 @@ STAR = Names(
     unused_order_columns=("o_totalprice",), customer="c_custkey", item_order="l_orderkey",
     item_product="l_partkey", item_seller="l_suppkey", product="p_partkey", product_category="p_brand",
     unused_product_columns=("p_name", "p_size"), seller="s_suppkey", review_order="l_orderkey",
-    review_texts=("l_comment",), payment_order="l_orderkey")
+    review_texts=("l_comment",), payment_order="l_orderkey", category="p_brand", category_label="label",
+    added_categories=(("Brand#7", "Added"), ("Not Defined", "Not Defined")),
+    category_renames=(("BRAND#2", "TWO"), ("TWO", "TWO "), ("BRAND#5", "FIVE")))
 
 
 def _star(t: Tables):
-    """The tables in the roles of a marketplace. Orders without a stated priority count as not
-    delivered, sales from the last months as the only ones, so that customers and sellers fall away."""
-    late = t.orders.filter("o_orderdate >= timestamp_ntz'2001-01-01'")
+    """The tables, whole, in the roles of a marketplace. Orders of one priority count as not delivered yet; rows
+    under shifted keys are the customers, products and sellers that fall away."""
     return {
-        "orders": late.withColumn("delivered_at", F.when(
+        "orders": t.orders.withColumn("delivered_at", F.when(
             F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderdate"))),
-        "customer": t.customer,
+        "customer": _with_orphans(t.customer, "c_custkey"),
         "order_item": t.lineitem,
         "payment": t.lineitem.select("l_orderkey", "l_extendedprice"),
-        "review": t.lineitem.filter("l_returnflag = 'R'").select(
-            "l_orderkey", F.nullif("l_linestatus", F.lit("O")).alias("l_comment")),
-        "product": t.part.withColumn("p_brand", F.nullif("p_brand", F.lit("Brand#1"))),
-        "seller": t.supplier,
+        "review": t.lineitem.select("l_orderkey", F.nullif("l_linestatus", F.lit("O")).alias("l_comment")),
+        "product": _with_orphans(t.part, "p_partkey").withColumn("p_brand", F.nullif("p_brand", F.lit("Brand#1"))),
+        "seller": _with_orphans(t.supplier, "s_suppkey"),
+        "product_category": t.part.filter("p_brand <> 'Brand#7'").select(
+            "p_brand", F.upper("p_brand").alias("label")).distinct(),
     }
 
 
@@ -166,16 +178,19 @@ def _stored(name, df):
     return checkpointed(df) if name in ("orders", "order_item") else df
 
 
-STAR_SQL = """
-WITH late AS (SELECT * FROM orders WHERE o_orderdate >= DATE '2001-01-01'),
-timed AS (SELECT * FROM late WHERE o_orderpriority <> '4-NOT SPECIFIED'),
+STAR_SQL = f"""
+WITH timed AS (SELECT * FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'),
 kept AS (SELECT * FROM timed WHERE o_orderstatus = 'F'),
-cust AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM kept)),
+all_cust AS {with_orphans_sql('customer', 'c_custkey')},
+all_part AS {with_orphans_sql('part', 'p_partkey')},
+all_supp AS {with_orphans_sql('supplier', 's_suppkey')},
+cust AS (SELECT * FROM all_cust WHERE c_custkey IN (SELECT o_custkey FROM kept)),
 items AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM kept)),
-returned AS (SELECT * FROM lineitem WHERE l_returnflag = 'R'),
-reviews AS (SELECT * FROM returned WHERE l_orderkey IN (SELECT o_orderkey FROM kept)),
-products AS (SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM items)),
-sellers AS (SELECT * FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM items))
+products AS (SELECT * FROM all_part WHERE p_partkey IN (SELECT l_partkey FROM items)),
+sellers AS (SELECT * FROM all_supp WHERE s_suppkey IN (SELECT l_suppkey FROM items)),
+named AS (SELECT DISTINCT p_brand, upper(p_brand) AS label FROM part WHERE p_brand <> 'Brand#7'
+          UNION ALL SELECT * FROM (VALUES ('Brand#7', 'Added'), ('Not Defined', 'Not Defined'))),
+labels_now AS (SELECT p_brand, CASE label WHEN 'BRAND#2' THEN 'TWO ' WHEN 'BRAND#5' THEN 'FIVE' ELSE label END AS label FROM named)
 """
 
 
@@ -186,22 +201,25 @@ UNION ALL SELECT 'customer', count(*), CAST(sum(c_custkey) AS BIGINT), 0 FROM cu
 UNION ALL SELECT 'order_item', count(*), CAST(sum(l_partkey) AS BIGINT), 0 FROM items
 UNION ALL SELECT 'payment', count(*), CAST(sum(l_orderkey) AS BIGINT), 0 FROM items
 UNION ALL SELECT 'review', count(*), CAST(sum(l_orderkey) AS BIGINT),
-                 count(*) FILTER (l_linestatus = 'O') FROM reviews
+                 count(*) FILTER (l_linestatus = 'O') FROM items
 UNION ALL SELECT 'product', count(*), CAST(sum(p_partkey) AS BIGINT),
                  count(*) FILTER (p_brand = 'Brand#1') FROM products
 UNION ALL SELECT 'seller', count(*), CAST(sum(s_suppkey) AS BIGINT), 0 FROM sellers
+UNION ALL SELECT 'product_category', count(*), CAST(sum(length(label) * (ascii(substr(label, 1, 1)))) AS BIGINT),
+                 count(*) FILTER (label = 'Not Defined') FROM labels_now
 """)
 def clean_cascade(t: Tables):
-    done = clean_all(_star(t), STAR, stage=_stored)
+    done = clean(_star(t), STAR, stage=_stored).tables
+    letters = F.length("label") * F.ascii(F.substring("label", 1, 1))
     summed = {"orders": "o_orderkey", "customer": "c_custkey", "order_item": "l_partkey",
               "payment": "l_orderkey", "review": "l_orderkey", "product": "p_partkey",
-              "seller": "s_suppkey"}
-    filled = {"review": "l_comment", "product": "p_brand"}
+              "seller": "s_suppkey", "product_category": letters}
+    filled = {"review": "l_comment", "product": "p_brand", "product_category": "label"}
     rows = None
     for name, column in summed.items():
         holes = (F.count_if(F.col(filled[name]) == "Not Defined") if name in filled
                  else F.lit(0).cast("long"))
-        row = done[name].agg(F.count(F.lit(1)).alias("n"), F.sum(column).alias("checksum"),
+        row = done[name].agg(F.count(F.lit(1)).alias("n"), F.sum(column).cast("long").alias("checksum"),
                              holes.alias("filled")).select(F.lit(name).alias("tbl"), "n", "checksum",
                                                            "filled")
         rows = row if rows is None else rows.unionByName(row)
@@ -210,19 +228,19 @@ def clean_cascade(t: Tables):
 
 @proof(STAR_SQL + """
 , counts AS (
-SELECT 'orders: no delivery time' AS step, (SELECT count(*) FROM late) AS rows_before,
+SELECT 'orders: no delivery time' AS step, (SELECT count(*) FROM orders) AS rows_before,
        (SELECT count(*) FROM timed) AS rows_after
 UNION ALL SELECT 'orders: not delivered', (SELECT count(*) FROM timed), (SELECT count(*) FROM kept)
-UNION ALL SELECT 'customer: orphans', (SELECT count(*) FROM customer), (SELECT count(*) FROM cust)
+UNION ALL SELECT 'customer: orphans', (SELECT count(*) FROM all_cust), (SELECT count(*) FROM cust)
 UNION ALL SELECT 'order_item: orphans', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM items)
 UNION ALL SELECT 'payment: orphans', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM items)
-UNION ALL SELECT 'review: orphans', (SELECT count(*) FROM returned), (SELECT count(*) FROM reviews)
-UNION ALL SELECT 'product: orphans', (SELECT count(*) FROM part), (SELECT count(*) FROM products)
-UNION ALL SELECT 'seller: orphans', (SELECT count(*) FROM supplier), (SELECT count(*) FROM sellers))
+UNION ALL SELECT 'review: orphans', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM items)
+UNION ALL SELECT 'product: orphans', (SELECT count(*) FROM all_part), (SELECT count(*) FROM products)
+UNION ALL SELECT 'seller: orphans', (SELECT count(*) FROM all_supp), (SELECT count(*) FROM sellers))
 SELECT step, rows_before, rows_before - rows_after AS rows_removed, rows_after FROM counts
 """)
 def clean_audit(t: Tables):
-    return audit_of(_star(t), STAR, stage=_stored)
+    return clean(_star(t), STAR, stage=_stored).audit
 
 
 PROOF_DESCRIBE = """

@@ -29,61 +29,52 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(~is_true(condition))
 
 
-def _keys(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).alias("__key")).filter(F.col("__key").isNotNull())
+def with_parent_flag(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None,
+                     null_aware: bool = False, parent_unique: bool = False, salts: int = 1,
+                     out: str = "stays") -> DataFrame:
+    """Add whether a child row stays when orphans go; each table is read once.
 
+    A row stays if its key has a parent or if it has no key. ``null_aware=True`` follows SQL's
+    ``NOT IN`` to the letter: one parent row without a key makes every comparison unknown, so every row
+    stays, and an empty parent lets none stay. Both are asked of the parent by one aggregate, a
+    subquery of the same plan.
 
-def _split_hot_keys(left: DataFrame, keys: DataFrame, salts: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Spread each key of ``left`` over ``salts`` tasks. The salt is a hash of the row, not a random
-    number, so that a task that runs again sends its rows to the same places; rows that are equal in
-    every column share one."""
-    salt = F.pmod(F.xxhash64(*[c for c in left.columns if c != "__key"]), F.lit(salts)).cast("int")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return (left.withColumn("__salt", salt), keys.withColumn("__salt", spread), ["__key", "__salt"])
-
-
-def _match(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None, how: str,
-           parent_unique: bool, salts: int) -> DataFrame:
-    keys = _keys(parent, parent_key or key)
+    Repeated parent keys are merged before the shuffle. Where the parent key is known to be unique,
+    ``parent_unique=True`` skips that, and run-time skew splitting covers a hot child key. Where both
+    sides may repeat keys, ``salts`` spreads a hot child key over several tasks. Child rows without a
+    key are spread by a hash of the row, so that they do not meet in one task. The hash is of the data,
+    not random, so that a task that runs again sends its rows to the same places.
+    """
+    own = F.col(parent_key or key)
+    keys = parent.select(own.alias("__key")).filter(F.col("__key").isNotNull())
     if not parent_unique:
         keys = keys.distinct()
-    left, on = child.withColumn("__key", F.col(key)), ["__key"]
-    if salts > 1:
-        left, keys, on = _split_hot_keys(left, keys, salts)
-    return left.join(keys, on, how).drop("__key", "__salt")
+    keys = keys.select("__key", F.lit(True).alias("__found"),
+                       F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    row = F.xxhash64(*child.columns)
+    salt = F.when(F.col(key).isNull(), F.pmod(row, F.lit(1 << 20)) + salts).otherwise(F.pmod(row, F.lit(salts)))
+    left = child.withColumns({"__key": F.col(key), "__salt": salt.cast("int")})
+    stays = F.col("__key").isNull() | F.col("__found").isNotNull()
+    if null_aware:
+        state = parent.agg(F.when(F.count(F.lit(1)) == 0, "empty").when(F.count_if(own.isNull()) > 0, "unknown")
+                           .otherwise("known").alias("state")).scalar()
+        stays = F.when(state == "empty", False).when(state == "unknown", True).otherwise(stays)
+    return left.join(keys, ["__key", "__salt"], "left").withColumn(out, stays).drop("__key", "__salt", "__found")
 
 
 def delete_orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None,
                    null_aware: bool = False, parent_unique: bool = False, salts: int = 1) -> DataFrame:
-    """Delete the child rows whose key has no parent; a child row without a key stays.
-
-    ``null_aware=True`` follows SQL's ``NOT IN`` to the letter: one parent row without a key makes
-    every comparison unknown, so nothing is deleted, and an empty parent deletes every row.
-
-    Repeated parent keys are merged before the shuffle. Where the parent key is known to be unique,
-    ``parent_unique=True`` skips that, and run-time skew splitting covers a hot child key. Where both
-    sides may repeat keys, ``salts`` spreads a hot child key over several tasks.
-    """
-    if null_aware:
-        if parent.isEmpty():
-            return child.limit(0)
-        if not parent.filter(F.col(parent_key or key).isNull()).isEmpty():
-            return child
-    matched = _match(child.filter(F.col(key).isNotNull()), parent, key, parent_key, "left_semi",
-                     parent_unique, salts)
-    return matched.unionByName(child.filter(F.col(key).isNull()))
+    """Delete the child rows whose key has no parent; a child row without a key stays. See
+    :func:`with_parent_flag` for the options."""
+    flagged = with_parent_flag(child, parent, key, parent_key, null_aware, parent_unique, salts, "__stays")
+    return flagged.filter("__stays").drop("__stays")
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None,
             null_aware: bool = False, parent_unique: bool = False, salts: int = 1) -> DataFrame:
     """The rows that :func:`delete_orphans` removes."""
-    if null_aware:
-        if parent.isEmpty():
-            return child
-        if not parent.filter(F.col(parent_key or key).isNull()).isEmpty():
-            return child.limit(0)
-    return _match(child.filter(F.col(key).isNotNull()), parent, key, parent_key, "left_anti",
-                  parent_unique, salts)
+    flagged = with_parent_flag(child, parent, key, parent_key, null_aware, parent_unique, salts, "__stays")
+    return flagged.filter("NOT __stays").drop("__stays")
 
 
 def fill_missing(df: DataFrame, values: Mapping[str, str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 VECTOR = "__features"
 RAW = "__cluster"
+WEIGHT = "__weight"
 
 
 @dataclass(frozen=True)
@@ -52,14 +53,18 @@ def with_vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def _fit(vectors: DataFrame, k: int, seed: int, iterations: int) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=iterations, featuresCol=VECTOR, predictionCol=RAW).fit(vectors)
+    return KMeans(k=k, seed=seed, maxIter=iterations, featuresCol=VECTOR, predictionCol=RAW,
+                  weightCol=WEIGHT).fit(vectors)
 
 
 def kmeans_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int], restarts: int = 10,
                  seed: int = 808, iterations: int = 100, parallelism: int = 8) -> dict[int, Clustering]:
-    """For every k the cheapest of ``restarts`` fits. The vectors are read once and kept for all fits,
-    which overlap so that short iterations do not leave the cluster idle."""
-    vectors = with_vector(df, features).select(VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
+    """For every k the cheapest of ``restarts`` fits. Equal rows are merged into weighted ones first, which
+    changes no cost: for scores few are left, however many rows there are. The vectors are kept for
+    all fits, which overlap so that short iterations do not leave the cluster idle."""
+    merged = (df.select(*[F.col(f).cast("double").alias(f) for f in features]).groupBy(*features)
+              .agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)))
+    vectors = with_vector(merged, features).select(VECTOR, WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         jobs = [(k, seed + r) for k in ks for r in range(restarts)]
         # one wrapper per fit: each gets its own copy of the session's thread properties
@@ -112,6 +117,7 @@ def elbow_table(df: DataFrame, sweep: dict[int, Clustering]) -> DataFrame:
 def silhouette(labelled: DataFrame, features: Sequence[str], cluster: str = "cluster") -> float:
     """Mean silhouette under squared Euclidean distance. Its cost is linear in the rows, because the
     mean squared distance to a cluster follows from the cluster's size, sum and sum of squares."""
+    # not over merged rows: with weights the library leaves out a row's equals, not the row alone
     return ClusteringEvaluator(featuresCol=VECTOR, predictionCol=cluster,
                                distanceMeasure="squaredEuclidean").evaluate(
         with_vector(labelled, features))
@@ -157,61 +163,50 @@ def silhouette_squared_points(df: DataFrame, vector: str, cluster: str) -> DataF
                              ).drop("__clusters", "__x", "__sq", "__own", "__b")
 
 
-# Exact silhouettes compare all distinct points, so their number is bounded.
-MAX_DISTINCT_POINTS = 20_000
-
-
 def silhouette_exact_points(labelled: DataFrame, features: Sequence[str], cluster: str = "cluster",
-                            max_distinct: int = MAX_DISTINCT_POINTS) -> DataFrame:
-    """The Euclidean silhouette of every distinct ``(features, cluster)`` point with its row count ``n``.
-
-    Equal rows are merged first, so the work depends on the number of distinct points: for three
-    scores of 1..5 that is at most 125 per cluster, however many customers there are. More distinct
-    points than ``max_distinct`` are refused, since all of them must be compared with each other;
-    :func:`silhouette` has no such bound.
+                            values: Sequence[float] = (1, 2, 3, 4, 5)) -> DataFrame:
+    """The Euclidean silhouette of every distinct ``(features, cluster)`` point with its row count ``n``,
+    for features that take only the declared ``values``.
+
+    Equal rows are merged first. The grid bounds the points: with three features of five values there
+    are at most 125 per cluster, however many rows. Each point is compared with the list of all points,
+    which reaches the tasks as a scalar subquery. A value off the grid is an error; :func:`silhouette`
+    takes any values.
     """
     names = list(features)
-    points = (labelled.groupBy(cluster, *[F.col(f).cast("double").alias(f) for f in names])
+    allowed = [float(v) for v in values]
+
+    def on_grid(f: str):
+        x = F.col(f).cast("double")
+        message = F.concat(F.lit(f"{f} has a value off the grid: "), F.coalesce(x.cast("string"), F.lit("null")))
+        return F.when(x.isin(allowed), x).otherwise(F.raise_error(message).cast("double")).alias(f)
+
+    points = (labelled.select(cluster, *[on_grid(f) for f in names]).groupBy(cluster, *names)
               .agg(F.count(F.lit(1)).alias("n")))
-    held = points.limit(max_distinct + 1).collect()
-    if len(held) > max_distinct:
-        raise ValueError(f"more than {max_distinct} distinct points; use silhouette()")
-    spark = labelled.sparkSession
-    table = spark.createDataFrame(held, points.schema)
-    everything = spark.sparkContext.broadcast(
-        ([r[cluster] for r in held], [[r[f] for f in names] for r in held], [r["n"] for r in held]))
-    schema = T.StructType([*points.schema.fields, T.StructField("silhouette", T.DoubleType())])
-    return table.mapInPandas(_euclidean_silhouettes(cluster, names, everything), schema)
-
-
-def _euclidean_silhouettes(cluster: str, names: list[str], everything):
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-
-        labels, points, weights = (np.array(part) for part in everything.value)
-        ids, place = np.unique(labels, return_inverse=True)
-        shares = np.zeros((len(labels), len(ids)))
-        shares[np.arange(len(labels)), place] = weights
-        sizes = shares.sum(axis=0)
-        for pdf in batches:
-            scores = []
-            for begin in range(0, len(pdf), 256):
-                block = pdf.iloc[begin:begin + 256]
-                gaps = block[names].to_numpy()[:, None, :] - points[None, :, :]
-                sums = np.sqrt((gaps ** 2).sum(axis=2)) @ shares
-                own = np.searchsorted(ids, block[cluster].to_numpy())
-                row = np.arange(len(block))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    inner = sums[row, own] / (sizes[own] - 1)
-                    means = sums / sizes
-                    means[row, own] = np.inf
-                    outer = means.min(axis=1)
-                    score = (outer - inner) / np.maximum(inner, outer)
-                scores.append(np.where(sizes[own] > 1, np.nan_to_num(score), 0.0))
-            if scores:
-                yield pdf.assign(silhouette=np.concatenate(scores))
-
-    return run
+    place = F.array(*names)
+    every = points.agg(F.collect_list(F.struct(F.col(cluster).alias("id"), "n", place.alias("x"))))
+    rows = points.withColumns({"__every": every.scalar(), "__x": place})
+
+    def gap(other):
+        squares = F.zip_with("__x", other["x"], lambda a, b: (a - b) * (a - b))
+        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
+
+    def total(column, ids, amount):
+        """Sum of an amount over the points of a cluster."""
+        return F.aggregate(F.filter(column, lambda p: p["id"] == ids), F.lit(0.0), lambda s, p: s + amount(p))
+
+    gaps = F.transform("__every", lambda p: F.struct(p["id"].alias("id"), p["n"].alias("n"), (gap(p) * p["n"]).alias("d")))
+    rows = rows.withColumn("__gaps", gaps).withColumn(
+        "__ids", F.array_distinct(F.transform("__gaps", lambda p: p["id"])))
+    sums = F.transform("__ids", lambda i: F.struct(
+        i.alias("id"), total(F.col("__gaps"), i, lambda p: p["n"]).alias("n"), total(F.col("__gaps"), i, lambda p: p["d"]).alias("d")))
+    rows = rows.withColumn("__sums", sums)
+    own = F.filter("__sums", lambda s: s["id"] == F.col(cluster))[0]
+    outer = F.array_min(F.transform(F.filter("__sums", lambda s: s["id"] != F.col(cluster)), lambda s: s["d"] / s["n"]))
+    rows = rows.withColumns({"__own": own, "__b": outer})
+    a = F.col("__own.d") / (F.col("__own.n") - 1)
+    score = F.when(F.col("__own.n") > 1, F.coalesce(F.try_divide(F.col("__b") - a, F.greatest(a, F.col("__b"))), F.lit(0.0)))
+    return rows.select(cluster, *names, "n", score.otherwise(F.lit(0.0)).alias("silhouette"))
 
 
 def melt(df: DataFrame, ids: Sequence[str], measures: Sequence[str]) -> DataFrame:

@@ -17,8 +17,13 @@ def _f1(precision: Column, recall: Column) -> Column:
 
 
 def binary_metrics(df: DataFrame, actual: str, predicted: str, positive=1) -> DataFrame:
-    """One row of accuracy, precision, recall and f1; a ratio over nothing is 0."""
-    truth, guess = F.col(actual) == F.lit(positive), F.col(predicted) == F.lit(positive)
+    """One row of accuracy, precision, recall and f1; a ratio over nothing is 0.
+
+    Every row with an actual label counts. A missing prediction is wrong whatever the label: it is one
+    of the other class where the label is positive, and of the positive class where it is not.
+    """
+    truth = F.col(actual) == F.lit(positive)
+    guess = F.coalesce(F.col(predicted) == F.lit(positive), ~truth)
 
     def count(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0))
@@ -74,12 +79,17 @@ def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFra
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: Sequence = (0, 1)) -> DataFrame:
-    """One row per actual label, one column ``predicted_<label>`` per predicted one, 0 where absent."""
-    cells = (df.groupBy(F.col(actual).alias("actual")).agg(*[
-        F.sum(F.when(F.col(predicted) == F.lit(p), 1).otherwise(0)).alias(f"predicted_{p}")
-        for p in labels]))
+    """One row per actual label, one column ``predicted_<label>`` per predicted one, 0 where absent.
+
+    Labels outside the list, and missing ones, are counted too: in a column ``predicted_other``, and in a
+    last row whose ``actual`` is null where there are such rows. So the cells add up to the rows.
+    """
+    named = F.when(F.col(actual).isin(list(labels)), F.col(actual))
+    hits = {f"predicted_{p}": F.coalesce(F.col(predicted) == F.lit(p), F.lit(False)) for p in labels}
+    hits["predicted_other"] = ~F.coalesce(F.col(predicted).isin(list(labels)), F.lit(False))
+    cells = df.groupBy(named.alias("actual")).agg(*[F.count_if(hit).alias(name) for name, hit in hits.items()])
     kind = df.schema[actual].dataType.simpleString()
     rows = df.sparkSession.createDataFrame([(a,) for a in labels], f"actual {kind}")
-    names = [f"predicted_{p}" for p in labels]
-    return (rows.join(cells, "actual", "left")
-            .select("actual", *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in names]))
+    known = rows.join(cells, "actual", "left")
+    return known.unionByName(cells.filter("actual IS NULL")).select(
+        "actual", *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in hits])

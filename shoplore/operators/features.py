@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -17,29 +16,30 @@ from shoplore.functions.text import words
 from shoplore.operators.ordered import with_row_number
 from shoplore.session import checkpointed
 
-# Strata and classes are labels, so there are few; a column with more is a mistake.
-MAX_LABELS = 1_000
+
+def label_table(df: DataFrame, label: str) -> DataFrame:
+    """``(label, n)``, checkpointed because what follows reads it several times."""
+    sizes = checkpointed(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
+    if not sizes.filter(F.col(label).isNull()).isEmpty():
+        raise ValueError(f"{label} has missing values")
+    return sizes
 
 
 def label_sizes(df: DataFrame, label: str) -> dict:
-    """Rows per label, in label order."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"{label} has more than {MAX_LABELS} different values")
-    if any(r[label] is None for r in rows):
-        raise ValueError(f"{label} has missing values")
-    return dict(sorted((r[label], r["n"]) for r in rows))
+    """Rows per label in label order, for models that hold one parameter vector per class."""
+    return {r[label]: r["n"] for r in label_table(df, label).orderBy(label).collect()}
 
 
-def share_out(total: int, sizes: dict) -> dict:
-    """``total`` draws divided in proportion to ``sizes``, whole numbers, largest remainders first."""
-    population = sum(sizes.values())
-    exact = {k: n * total / population for k, n in sizes.items()}
-    drawn = {k: math.floor(x) for k, x in exact.items()}
-    by_remainder = sorted(sizes, key=lambda k: drawn[k] - exact[k])
-    for k in by_remainder[:total - sum(drawn.values())]:
-        drawn[k] += 1
-    return drawn
+def share_out(sizes: DataFrame, label: str, count: str, total: int, out: str) -> DataFrame:
+    """Add ``total`` draws divided in proportion to ``count``, whole numbers, largest remainders first
+    and of equal ones the first label. Labels are ranked by range partitions, however many there are."""
+    population = sizes.agg(F.sum(count)).first()[0] or 1
+    exact = F.col(count) * F.lit(total) / F.lit(float(population))
+    parts = sizes.withColumns({"__base": F.floor(exact), "__rest": exact - F.floor(exact)})
+    spare = total - (parts.agg(F.sum("__base")).first()[0] or 0)
+    turns = with_row_number(parts.withColumn("__turn", -F.col("__rest")), ["__turn", label], "__place")
+    return turns.withColumn(out, F.col("__base") + (F.col("__place") <= spare).cast("long")).drop(
+        "__base", "__rest", "__turn", "__place")
 
 
 def shuffle_hash(key: str, seed: int) -> Column:
@@ -52,53 +52,45 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = 808, share
     """Add ``train``, ``validation`` or ``test``. The last two hold ``int(share * rows)`` rows each and
     every label in proportion; ``key`` must be unique.
 
-    Only label, hash and key are sorted, to find the hashes at which a label's splits end. The rows
-    themselves, texts and all, are compared with those few bounds where they are.
+    Only label, hash and key are sorted, to find the hashes at which a label's splits end. Those
+    bounds, one row per label, are joined to the rows, texts and all; a label that fills much of the
+    table can be split at run time.
     """
-    sizes = label_sizes(df, label)
-    wanted = int(share * sum(sizes.values()))
-    test = share_out(wanted, sizes)
-    validation = share_out(wanted, {k: n - test[k] for k, n in sizes.items()})
-
-    places, before = {}, 0
-    for k, n in sizes.items():
-        for name, count in (("test", test[k]), ("validation", test[k] + validation[k])):
-            if count:
-                places[before + count] = (k, name)
-        before += n
+    sizes = label_table(df, label)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    wanted = int(share * total)
+    quotas = share_out(sizes, label, "n", wanted, "tests")
+    quotas = share_out(quotas.withColumn("left", F.col("n") - F.col("tests")), label, "left", wanted, "vals")
+
     narrow = df.select(label, shuffle_hash(key, seed).alias("__hash"), key)
     numbered = with_row_number(narrow, [label, "__hash", key], "__place")
-    ends = {p: None for p in places}
-    for r in numbered.filter(F.col("__place").isin(list(places))).collect():
-        ends[r["__place"]] = (r["__hash"], r[key])
-
-    here = F.struct(shuffle_hash(key, seed).alias("h"), F.col(key).alias("k"))
-    kind = df.schema[key].dataType
-    bounds = {}
-    for p, (k, name) in places.items():
-        h, last = ends[p]
-        bounds[k, name] = here <= F.struct(F.lit(h).alias("h"), F.lit(last).cast(kind).alias("k"))
-    never = F.lit(False)
-    split = F.lit("train")
-    for k in reversed(list(sizes)):
-        inside = (F.when(bounds.get((k, "test"), never), "test")
-                  .when(bounds.get((k, "validation"), never), "validation").otherwise("train"))
-        split = F.when(F.col(label) == F.lit(k), inside).otherwise(split)
-    return df.withColumn(out, split)
+    begins = numbered.groupBy(label).agg(F.min("__place").alias("__first"))
+    limits = quotas.join(begins, label).select(
+        label, (F.col("__first") + F.col("tests") - 1).alias("__test"),
+        (F.col("__first") + F.col("tests") + F.col("vals") - 1).alias("__val"), "__first")
+    place, here = F.col("__place"), F.struct(F.col("__hash").alias("h"), F.col(key).alias("k"))
+    # a split without rows has no row at its end, hence no bound
+    bounds = (numbered.join(limits, label)
+              .filter((place == F.col("__test")) | (place == F.col("__val")))
+              .groupBy(label).agg(F.max(F.when(place == F.col("__test"), here)).alias("__test_end"),
+                                  F.max(F.when(place == F.col("__val"), here)).alias("__val_end")))
+    own = F.struct(shuffle_hash(key, seed).alias("h"), F.col(key).alias("k"))
+    split = (F.when(F.coalesce(own <= F.col("__test_end"), F.lit(False)), "test")
+             .when(F.coalesce(own <= F.col("__val_end"), F.lit(False)), "validation").otherwise("train"))
+    return (df.join(bounds, label, "left").withColumn(out, split)
+            .select(*df.columns, out))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """``(label, n, weight)`` with balanced weights: rows / (classes * rows of the class)."""
-    sizes = label_sizes(df, label)
-    total = sum(sizes.values())
-    rows = [(k, n, total / (len(sizes) * n)) for k, n in sizes.items()]
-    kind = df.schema[label].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"{label} {kind}, n long, weight double")
+    sizes = label_table(df, label)
+    facts = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")).first()
+    return sizes.select(label, "n", (F.lit(facts["rows"]) / (F.lit(facts["classes"]) * F.col("n"))).alias("weight"))
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    weights = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(weights), label)
+    """Every row with the weight of its class; a class that fills much of the table can be split at run time."""
+    return df.join(class_weights(df, label).select(label, F.col("weight").alias(out)), label)
 
 
 @dataclass(frozen=True)

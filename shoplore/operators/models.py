@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,10 +21,13 @@ from shoplore.session import checkpointed
 
 @dataclass(frozen=True)
 class Logistic:
-    """A fitted binary classifier."""
+    """A fitted binary classifier. ``slope`` is the largest entry of the gradient where the search
+    ended, and ``converged`` whether that is within the tolerance."""
 
     coefficients: list[float]
     intercept: float
+    slope: float = 0.0
+    converged: bool = True
 
     def predict(self, df: DataFrame, features: str, out: str = "predicted",
                 probability: str = "probability") -> DataFrame:
@@ -47,14 +51,13 @@ def sparse_parts(vector: str) -> tuple[Column, Column]:
 
 
 def fit_logistic(train: DataFrame, features: str, label: str, weight: str | None = None,
-                 strength: float = 1.0, iterations: int = 500, tolerance: float = 1e-5,
-                 direct_bytes: int = 64 << 20) -> Logistic:
+                 strength: float = 1.0, iterations: int = 500, tolerance: float = 1e-5) -> Logistic:
     """Minimise ``strength * sum(weight * loss) + |coefficients|^2 / 2``; the intercept is free.
 
     Each step of the limited-memory BFGS search is one pass over the stored rows, in which every task
-    adds up its own part of the gradient. The driver adds the parts, or where together they exceed
-    ``direct_bytes``, the executors first add them in as many groups as the root of their number. The
-    library's own solver divides every feature by its deviation first.
+    adds up its own part of the gradient. The executors add the parts, first in as many groups as the
+    root of their number, then all; the driver gets one vector. A search that ends before the gradient
+    is within ``tolerance`` warns and says so in the result. The library's own solver divides every feature by its deviation first.
     For rare words that spoils the conditioning of this objective: it is still falling after 500
     passes where this search is done in some tens.
     """
@@ -68,7 +71,6 @@ def fit_logistic(train: DataFrame, features: str, label: str, weight: str | None
                      F.countDistinct("part").alias("parts")).first()
     mass, size = facts["mass"], facts["size"]
     groups = max(1, math.isqrt(facts["parts"]))
-    few = facts["parts"] * (size + 1) * 8 <= direct_bytes
     penalty = 1.0 / (strength * mass)
     context = train.sparkSession.sparkContext
 
@@ -76,21 +78,22 @@ def fit_logistic(train: DataFrame, features: str, label: str, weight: str | None
         sent = context.broadcast(x)
         parts = rows.select("i", "v", "y", "w", F.pmod("part", F.lit(groups)).alias("g"))
         sums = parts.mapInArrow(_logistic_part(sent), "g int, loss double, slope array<double>")
-        if not few:
-            added = vector_to_array(Summarizer.sum(array_to_vector("slope")))
-            sums = sums.groupBy("g").agg(F.sum("loss").alias("loss"), added.alias("slope"))
-        table = sums.select("loss", "slope").toArrow()
+        added = [F.sum("loss").alias("loss"), vector_to_array(Summarizer.sum(array_to_vector("slope"))).alias("slope")]
+        table = sums.groupBy("g").agg(*added).agg(*added).toArrow()
         sent.unpersist()
-        slopes = table["slope"].combine_chunks().flatten().to_numpy().reshape(-1, size + 1)
-        slope, loss = slopes.sum(axis=0) / mass, table["loss"].to_numpy().sum() / mass
+        slope = table["slope"].combine_chunks().flatten().to_numpy() / mass
+        loss = table["loss"].to_numpy().sum() / mass
         slope[:-1] += penalty * x[:-1]
         return loss + penalty / 2 * float(x[:-1] @ x[:-1]), slope
 
     try:
-        best = _minimise(evaluate, np.zeros(size + 1), iterations, tolerance)
+        best, slope = _minimise(evaluate, np.zeros(size + 1), iterations, tolerance)
     finally:
         rows.unpersist()
-    return Logistic([float(c) for c in best[:-1]], float(best[-1]))
+    left = float(np.abs(slope).max())
+    if left > tolerance:
+        warnings.warn(f"the search ended with a gradient of {left:g}, over {tolerance:g}", stacklevel=2)
+    return Logistic([float(c) for c in best[:-1]], float(best[-1]), left, left <= tolerance)
 
 
 def _logistic_part(sent):
@@ -123,8 +126,9 @@ def _logistic_part(sent):
 
 
 def _minimise(evaluate: Callable, start: np.ndarray, iterations: int, tolerance: float,
-              memory: int = 10) -> np.ndarray:
-    """Limited-memory BFGS with step halving, for a smooth convex function."""
+              memory: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Limited-memory BFGS with step halving, for a smooth convex function: where it ends, and the
+    gradient there."""
     x, (value, slope) = start, evaluate(start)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(iterations):
@@ -152,7 +156,7 @@ def _minimise(evaluate: Callable, start: np.ndarray, iterations: int, tolerance:
         if s @ y > 0:
             past = [*past[1 - memory:], (s, y, s @ y)]
         x, value, slope = there, next_value, next_slope
-    return x
+    return x, slope
 
 
 @dataclass(frozen=True)
@@ -167,10 +171,11 @@ class NaiveBayes:
         """``(key, score_0, score_1, ..., predicted)`` for every document, those without any known term
         included; of equal scores the first class wins.
 
-        The table has one row per term of the fitted vocabulary, so it is broadcast.
+        The table has one row per term of whatever vocabulary it was fitted with, so whether it is
+        broadcast is left to the planner, which knows its size.
         """
         names = [f"score_{i}" for i in range(len(self.classes))]
-        sums = (terms.join(F.broadcast(self.table), "term").groupBy(key)
+        sums = (terms.join(self.table, "term").groupBy(key)
                 .agg(*[F.sum(F.col(weight) * F.col(f"logp_{i}")).alias(n) for i, n in enumerate(names)]))
         joined = documents.select(key).join(sums, key, "left").select(
             key, *[(F.coalesce(F.col(n), F.lit(0.0)) + F.lit(p)).alias(n)
@@ -191,9 +196,9 @@ def fit_naive_bayes(documents: DataFrame, terms: DataFrame, label: str, weight:
     """
     sizes = label_sizes(documents, label)
     classes, total = list(sizes), sum(sizes.values())
-    sums = terms.groupBy("term").agg(*[
+    sums = checkpointed(terms.groupBy("term").agg(*[
         F.sum(F.when(F.col(label) == F.lit(c), F.col(weight)).otherwise(F.lit(0.0)).cast("double"))
-        .alias(f"s_{i}") for i, c in enumerate(classes)])
+        .alias(f"s_{i}") for i, c in enumerate(classes)]))
     mass = sums.agg(F.count(F.lit(1)).alias("terms"),
                     *[F.sum(f"s_{i}").alias(f"m_{i}") for i in range(len(classes))]).first()
     table = sums.select("term", *[

@@ -16,9 +16,6 @@ from pyspark.sql import types as T
 
 from shoplore.session import checkpointed
 
-# A window without a partition key is used only up to this many rows.
-ONE_TASK_ROWS = 100_000
-
 _LOW_33_BITS = (1 << 33) - 1
 
 
@@ -59,20 +56,13 @@ def _rank_map(df: DataFrame, value: str, descending: bool, out: str) -> DataFram
             .select(F.col(value).alias("__value"), (F.col("__before") + F.col("__run") + 1).alias(out)))
 
 
-def with_ranks(df: DataFrame, ranks: Mapping[str, tuple[str, bool]],
-               one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def with_ranks(df: DataFrame, ranks: Mapping[str, tuple[str, bool]]) -> DataFrame:
     """Add ``rank()`` columns over the whole table: ``{out: (column, descending)}``.
 
-    Meant for grouped tables. The input is checkpointed and counted: a small one is ranked by plain
-    windows, a larger one through its distinct values, range-partitioned.
+    Every column is ranked through its distinct values, range-partitioned, however many rows there
+    are. The input is read once for each rank and once for the result, so it is checkpointed.
     """
-    base = checkpointed(df)
-    if base.count() <= one_task_rows:
-        for out, (column, descending) in ranks.items():
-            key = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
-            base = base.withColumn(out, F.rank().over(Window.orderBy(key)).cast("long"))
-        return base
-    result = base
+    result = base = checkpointed(df)
     for out, (column, descending) in ranks.items():
         places = _rank_map(base, column, descending, out)
         result = (result.join(places, F.col(column).eqNullSafe(F.col("__value")), "inner")

@@ -19,9 +19,12 @@ from shoplore.session import checkpointed
 
 def enrich_items(items: DataFrame, products: DataFrame, categories: DataFrame,
                  product: str = "product_id", category: str = "category_name") -> DataFrame:
-    """Items with their product's category and its translation; items without one stay."""
-    return (items.join(products.select(product, category), product, "left")
-            .join(categories, category, "left"))
+    """Items, all their columns, with their product's category and its translation; items without one stay.
+
+    The names are joined to the products first, so that items without a category do not meet in one task.
+    """
+    goods = products.select(product, category).join(categories, category, "left")
+    return items.join(goods, product, "left")
 
 
 def distinct_counts(df: DataFrame, counts: Mapping[str, str]) -> DataFrame:
@@ -59,25 +62,13 @@ def orders_by_year(orders: DataFrame, day: str, order: str) -> DataFrame:
 
 
 def orders_by_place(orders: DataFrame, customers: DataFrame, places: DataFrame, by: Sequence[str],
-                    order: str, customer: str, customer_key: str, place: str, place_key: str,
-                    unique_orders: bool = False) -> DataFrame:
-    """Distinct orders by any columns of the places their customers live in, largest first.
-
-    Where order ids are known to be unique and customers too, ``unique_orders=True`` counts orders per
-    customer, then per place, before each join, so that neither sends more than one row per task.
-    """
-    homes = customers.select(F.col(customer_key).alias("__customer"), F.col(place).alias("__place"))
-    bought = orders.select(order, F.col(customer).alias("__customer"))
-    if unique_orders:
-        bought = bought.groupBy("__customer").agg(F.count(order).alias("__n"))
-        count = F.sum("__n")
-    else:
-        count = F.countDistinct(order)
-    sited = bought.join(homes, "__customer")
-    if unique_orders:
-        sited = sited.groupBy("__place").agg(F.sum("__n").alias("__n"))
-    sited = sited.join(places, F.col("__place") == F.col(place_key))
-    return largest_first(sited.groupBy(*by).agg(count.alias("orders_cnt")), "orders_cnt", *by)
+                    order: str, customer: str, customer_key: str, place: str, place_key: str) -> DataFrame:
+    """Distinct orders by any columns of the places their customers live in, largest first. Repeated rows of
+    orders and customers are merged below the joins."""
+    homes = customers.select(F.col(customer_key).alias("__customer"), F.col(place).alias("__place")).distinct()
+    bought = orders.select(order, F.col(customer).alias("__customer")).distinct()
+    sited = bought.join(homes, "__customer").join(places, F.col("__place") == F.col(place_key))
+    return largest_first(distinct_counts_by(sited, by, {"orders_cnt": order}), "orders_cnt", *by)
 
 
 def category_sales(items: DataFrame, products: DataFrame, categories: DataFrame | None, by: Sequence[str],
@@ -101,33 +92,39 @@ def rank_categories(sales: DataFrame, name: str, top: int | None = 10) -> DataFr
     return ordered if top is None else ordered.limit(top)
 
 
-def seller_specialisation(items: DataFrame, products: DataFrame, seller: str, product: str,
-                          product_key: str, category: str) -> DataFrame:
-    """Distinct categories and products per seller. Repeated sales of a product by a seller are merged
-    before the join."""
-    goods = products.filter(F.col(category).isNotNull()).select(
-        F.col(product_key).alias(product), category)
+def _goods(products: DataFrame, categories: DataFrame, product: str, product_key: str, category: str,
+           columns: Sequence[str]) -> DataFrame:
+    """Products of known categories, under the items' name for their key, with columns of the category."""
+    return (products.select(F.col(product_key).alias(product), category)
+            .join(categories, category).select(product, *columns).distinct())
+
+
+def seller_specialisation(items: DataFrame, products: DataFrame, categories: DataFrame, seller: str,
+                          product: str, product_key: str, category: str, label: str) -> DataFrame:
+    """Distinct categories, by their ``label``, and products per seller, over products of known categories.
+    Repeated sales of a product by a seller are merged before the join."""
+    goods = _goods(products, categories, product, product_key, category, [label])
     sold = items.select(seller, product).distinct().join(goods, product)
-    counts = distinct_counts_by(sold, [seller], {"categories_cnt": category, "products_cnt": product})
+    counts = distinct_counts_by(sold, [seller], {"categories_cnt": label, "products_cnt": product})
     return largest_first(counts, "products_cnt", seller)
 
 
-def sellers_per_category(items: DataFrame, products: DataFrame, seller: str, product: str,
-                         product_key: str, category: str) -> DataFrame:
-    goods = products.filter(F.col(category).isNotNull()).select(
-        F.col(product_key).alias(product), category)
+def sellers_per_category(items: DataFrame, products: DataFrame, categories: DataFrame, seller: str,
+                         product: str, product_key: str, category: str, label: str) -> DataFrame:
+    """Distinct sellers per ``label`` of the known categories."""
+    goods = _goods(products, categories, product, product_key, category, [label])
     sold = items.select(seller, product).distinct().join(goods, product)
-    return largest_first(distinct_counts_by(sold, [category], {"sellers_cnt": seller}),
-                         "sellers_cnt", category)
+    return largest_first(distinct_counts_by(sold, [label], {"sellers_cnt": seller}), "sellers_cnt", label)
 
 
-def orders_over_sellers(items: DataFrame, products: DataFrame, categories: Sequence[str], seller: str,
-                        order: str, product: str, product_key: str, category: str,
+def orders_over_sellers(items: DataFrame, products: DataFrame, categories: DataFrame, wanted: Sequence[str],
+                        seller: str, order: str, product: str, product_key: str, category: str, label: str,
                         more_than: int = 0) -> DataFrame:
-    """One row about the sellers with more than ``more_than`` orders in the given categories: how many
-    they are, their orders added up (an order of several sellers counts for each), and their distinct
+    """One row about the sellers with more than ``more_than`` orders in the categories with one of the
+    wanted labels: how many they are, their orders added up (an order of several sellers counts for each), and their distinct
     orders. Items without a seller are left out."""
-    goods = products.filter(F.col(category).isin(list(categories))).select(F.col(product_key).alias(product))
+    named = categories.filter(F.col(label).isin(list(wanted)))
+    goods = _goods(products, named, product, product_key, category, [])
     pairs = (items.filter(F.col(seller).isNotNull()).select(seller, order, product)
              .join(goods, product, "left_semi").select(seller, order).distinct())
     if more_than > 0:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoplore.functions.columns import is_true
 from shoplore.operators import cleaning
 from shoplore.sources.files import add_reference_rows
 
@@ -84,27 +86,56 @@ class Names:
 Stage = Callable[[str, DataFrame], DataFrame]
 
 
-def _steps(tables: Mapping[str, DataFrame], n: Names, null_aware: bool, stage: Stage,
-           ) -> tuple[dict[str, DataFrame], list[tuple[str, DataFrame, DataFrame]]]:
-    done: dict[str, DataFrame] = {}
-    removals: list[tuple[str, DataFrame, DataFrame]] = []
+@dataclass(frozen=True)
+class Cleaned:
+    """The cleaned tables and what every deleting step did: ``(step, rows_before, rows_removed,
+    rows_after)``. Both come from the same flagged rows."""
+
+    tables: dict[str, DataFrame]
+    audit: DataFrame
+
+
+def _counted(flagged: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
+    """Rows before and after steps that delete one after another, from one pass over flagged rows."""
+    stays, counts = F.lit(True), [F.count(F.lit(1)).alias("n0")]
+    for i, (_, condition) in enumerate(steps, start=1):
+        stays = stays & condition
+        counts.append(F.count_if(stays).alias(f"n{i}"))
+    rows = F.array(*[F.struct(F.lit(name).alias("step"), F.col(f"n{i}").alias("rows_before"),
+                              (F.col(f"n{i}") - F.col(f"n{i + 1}")).alias("rows_removed"),
+                              F.col(f"n{i + 1}").alias("rows_after")) for i, (name, _) in enumerate(steps)])
+    return flagged.agg(*counts).select(F.inline(rows))
+
+
+def clean(tables: Mapping[str, DataFrame], names: Names = Names(), null_aware: bool = False,
+          stage: Stage = lambda name, df: df) -> Cleaned:
+    """Clean orders first, then what hangs on them, then what hangs on the items.
 
-    def removed(step: str, before: DataFrame, after: DataFrame) -> DataFrame:
-        removals.append((step, before, after))
-        return after
+    ``tables`` holds ``orders`` and any of ``customer``, ``order_item``, ``payment``, ``review``,
+    ``product``, ``seller`` and ``product_category``. Every table is flagged in one pass; what stays and
+    the audit are read from the flags. Orders are read by four later steps and items by two; pass a
+    ``stage`` that writes a flagged table and reads it back to have each worked out once, for the
+    tables and the audit together.
+    """
+    n, done, audits = names, {}, []
+
+    def flagged(name: str, rows: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
+        stored = stage(name, rows)
+        audits.append(_counted(stored, steps))
+        for _, condition in steps:
+            stored = stored.filter(condition)
+        return stored.drop("__stays")
 
     start = cleaning.drop_columns(tables["orders"], n.unused_order_columns)
-    timed = removed("orders: no delivery time", start,
-                    cleaning.delete_where(start, F.col(n.delivery_time).isNull()))
-    kept = removed("orders: not delivered", timed,
-                   cleaning.delete_where(timed, F.col(n.status) != n.delivered))
-    done["orders"] = orders = stage("orders", cleaning.with_date(kept, n.purchase_time, n.order_day))
+    done["orders"] = orders = flagged("orders", cleaning.with_date(start, n.purchase_time, n.order_day), [
+        ("orders: no delivery time", F.col(n.delivery_time).isNotNull()),
+        ("orders: not delivered", ~is_true(F.col(n.status) != n.delivered))])
 
     def drop_orphans(name: str, key: str, parent: DataFrame, parent_key: str, unique: bool,
-                     table: DataFrame | None = None) -> None:
+                     table: DataFrame | None = None, salts: int = 1) -> None:
         before = tables[name] if table is None else table
-        done[name] = stage(name, removed(f"{name}: orphans", before, cleaning.delete_orphans(
-            before, parent, key, parent_key, null_aware, parent_unique=unique)))
+        done[name] = flagged(name, cleaning.with_parent_flag(
+            before, parent, key, parent_key, null_aware, unique, salts, "__stays"), [(f"{name}: orphans", F.col("__stays"))])
 
     if "customer" in tables:
         drop_orphans("customer", n.customer, orders, n.order_customer, False)
@@ -126,31 +157,16 @@ def _steps(tables: Mapping[str, DataFrame], n: Names, null_aware: bool, stage: S
         complete = add_reference_rows(tables["product_category"], n.added_categories, n.category)
         done["product_category"] = stage("product_category", cleaning.rename_values(
             complete, n.category_label, n.category_renames))
-    return done, removals
+    return Cleaned(done, reduce(DataFrame.unionByName, audits))
 
 
 def clean_all(tables: Mapping[str, DataFrame], names: Names = Names(), null_aware: bool = False,
               stage: Stage = lambda name, df: df) -> dict[str, DataFrame]:
-    """Clean orders first, then what hangs on them, then what hangs on the items.
-
-    ``tables`` holds ``orders`` and any of ``customer``, ``order_item``, ``payment``, ``review``,
-    ``product``, ``seller`` and ``product_category``. Orders are read by four later steps and items by
-    two; pass a ``stage`` that writes a table and reads it back to have each worked out once.
-    """
-    return _steps(tables, names, null_aware, stage)[0]
+    """The tables of :func:`clean`."""
+    return clean(tables, names, null_aware, stage).tables
 
 
 def clean_audit(tables: Mapping[str, DataFrame], names: Names = Names(), null_aware: bool = False,
                 stage: Stage = lambda name, df: df) -> DataFrame:
-    """``(step, rows_before, rows_removed, rows_after)`` for every step that deletes rows."""
-    counts = None
-    for step, before, after in _steps(tables, names, null_aware, stage)[1]:
-        for df, column in ((before, "rows_before"), (after, "rows_after")):
-            one = df.agg(F.count(F.lit(1)).alias("n")).select(
-                F.lit(step).alias("step"), F.lit(column).alias("which"), "n")
-            counts = one if counts is None else counts.unionByName(one)
-    sides = counts.groupBy("step").agg(*[
-        F.sum(F.when(F.col("which") == side, F.col("n"))).alias(side)
-        for side in ("rows_before", "rows_after")])
-    return sides.select("step", "rows_before",
-                        (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"), "rows_after")
+    """The audit of :func:`clean`."""
+    return clean(tables, names, null_aware, stage).audit

@@ -70,7 +70,8 @@ def segment(df: DataFrame, key: str, features: Sequence[str], k: int = 6, restar
                     melt(labelled, [key, "cluster"], measures))
 
 
-def exact_silhouette(labelled: DataFrame, features: Sequence[str], cluster: str = "cluster") -> DataFrame:
-    """One row with the mean Euclidean silhouette, for features with a bounded number of values."""
-    points = silhouette_exact_points(labelled, features, cluster)
+def exact_silhouette(labelled: DataFrame, features: Sequence[str], cluster: str = "cluster",
+                     values: Sequence[float] = (1, 2, 3, 4, 5)) -> DataFrame:
+    """One row with the mean Euclidean silhouette, for features that take only the declared values."""
+    points = silhouette_exact_points(labelled, features, cluster, values)
     return points.agg((F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).alias("silhouette"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,8 @@ def build_session(app_name: str = "shoplore", **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.checkpoint.compress": "true",
+        # checkpoints go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app_name)
@@ -28,6 +31,11 @@ def build_session(app_name: str = "shoplore", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+@cache
+def _own_folder() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="shoplore-checkpoint-", ignore_cleanup_errors=True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back, so that no later step
     depends on recomputing it after an executor is lost.
@@ -42,6 +50,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="shoplore-checkpoint-")
+            # lives as long as this process
+            folder = _own_folder().name
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

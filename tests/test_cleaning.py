@@ -5,8 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+from proofs import PROOFS
 from shoplore.operators import cleaning, quality
-from shoplore.plans.marketplace import (ADDED_CATEGORIES, CATEGORY_RENAMES, Names, clean_all,
+from shoplore.plans.marketplace import (ADDED_CATEGORIES, CATEGORY_RENAMES, Names, clean, clean_all,
                                         clean_audit)
 from shoplore.session import checkpointed
 from shoplore.sources.files import add_reference_rows
@@ -163,3 +165,24 @@ def test_every_column_is_checked_for_negatives(spark):
     df = spark.createDataFrame([(-1, 2, 3), (-2, None, 4)], "a int, b int, c int")
     rows = {r["measure"]: (r["nulls"], r["negatives"]) for r in quality.numeric_gate(df, "abc").collect()}
     assert rows == {"a": (0, 2), "b": (1, 0), "c": (0, 0)}
+
+
+def test_orphans_read_each_table_once(spark, tables):
+    plan = PROOFS["orphans_removed"].run(spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("orders.parquet") == 1
+    audit = PROOFS["clean_audit"].run(spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+    assert {name: audit.count(f"/{name}.parquet") for name in ("customer", "orders")} == {"customer": 2, "orders": 0}
+
+
+def test_children_without_a_key_do_not_meet_in_one_task(spark, many_partitions):
+    child = spark.range(4000).select(F.lit(None).cast("long").alias("k"), "id")
+    flagged = cleaning.with_parent_flag(child, spark.createDataFrame([(1,), (None,)], "k long"), "k")
+    assert flagged.filter("stays").count() == 4000
+    assert cleaning.delete_orphans(child, spark.createDataFrame([], "k long"), "k", null_aware=True).isEmpty()
+    assert cleaning.delete_orphans(child, spark.createDataFrame([(None,)], "k long"), "k", null_aware=True).count() == 4000
+
+
+def test_cleaning_gives_tables_and_audit_together(spark):
+    both = clean(marketplace(spark))
+    after = {r["step"].split(":")[0]: r["rows_after"] for r in both.audit.collect()}
+    assert all(both.tables[name].count() == n for name, n in after.items())

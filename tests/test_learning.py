@@ -93,9 +93,25 @@ def test_split_sizes_strata_and_stability(spark, n):
     assert dict(zip(got["k"], got["split"])) != dict(zip(other["k"], other["split"]))
 
 
-def test_draws_are_shared_by_largest_remainder():
-    assert features.share_out(10, {"a": 50, "b": 30, "c": 19}) == {"a": 5, "b": 3, "c": 2}
-    assert features.share_out(1, {"a": 5, "b": 5}) == {"a": 1, "b": 0}
+def test_draws_are_shared_by_largest_remainder(spark):
+    def shared(total, sizes):
+        table = spark.createDataFrame(list(sizes.items()), "y string, n long")
+        return {r["y"]: r["drawn"] for r in features.share_out(table, "y", "n", total, "drawn").collect()}
+
+    assert shared(10, {"a": 50, "b": 30, "c": 19}) == {"a": 5, "b": 3, "c": 2}
+    assert shared(1, {"a": 5, "b": 5}) == {"a": 1, "b": 0}
+
+
+def test_split_and_weights_of_many_labels(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 5_000).alias("y"))
+    split = features.stratified_split(df, "id", "y")
+    assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {
+        "train": 16_000, "validation": 2_000, "test": 2_000}
+    assert split.groupBy("y", "split").count().filter("split <> 'train'").agg(F.max("count")).first()[0] == 1
+    weights = features.with_class_weight(df, "y")
+    assert weights.count() == 20_000 and weights.select("weight").distinct().collect() == [(1.0,)]
+    with pytest.raises(ValueError, match="missing"):
+        features.class_weights(df.withColumn("y", F.lit(None).cast("long")), "y")
 
 
 def test_class_weights(docs):
@@ -105,12 +121,13 @@ def test_class_weights(docs):
 
 
 @pytest.mark.usefixtures("many_partitions")
-@pytest.mark.parametrize("direct_bytes", [0, 1 << 20])
-def test_logistic_fit_has_no_gradient_left(docs, direct_bytes):
+def test_logistic_fit_has_no_gradient_left(docs):
     fitted = features.fit_tfidf(docs, "t", max_df=1.0)
     rows = features.with_class_weight(fitted.vectors(docs, "t"), "y").repartition(5)
-    model = models.fit_logistic(rows, "features", "y", "weight", tolerance=1e-9,
-                                direct_bytes=direct_bytes)
+    model = models.fit_logistic(rows, "features", "y", "weight", tolerance=1e-9)
+    assert model.converged and model.slope <= 1e-9
+    with pytest.warns(UserWarning, match="gradient"):
+        assert not models.fit_logistic(rows, "features", "y", "weight", iterations=1).converged
     terms, x = tfidf_matrix()
     order = {r["term"]: r["index"] for r in fitted.vocabulary.collect()}
     beta = np.array([model.coefficients[order[t]] for t in terms])
@@ -164,11 +181,21 @@ def test_metrics_and_report(spark):
     assert cells == {0: (4, 3), 1: (2, 5)}
 
 
+def test_every_row_is_in_some_cell(spark):
+    rows = [(1, 1), (1, None), (0, None), (0, 7), (5, 0), (None, 1), (1, 0), (0, 0)]
+    df = spark.createDataFrame(rows, "a int, p int")
+    cells = {r["actual"]: tuple(r)[1:] for r in evaluation.confusion_matrix(df, "a", "p").collect()}
+    assert cells == {0: (1, 0, 2), 1: (1, 1, 1), None: (1, 1, 0)}
+    judged = df.filter("a IN (0, 1)")
+    # missing predictions are wrong: of six rows two are right
+    assert evaluation.binary_metrics(judged.filter("p IS NULL OR p < 7"), "a", "p").first()["accuracy"] == 2 / 5
+
+
 def test_undefined_ratios_are_zero_and_absent_cells_too(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "a int, p int")
     assert tuple(evaluation.binary_metrics(df, "a", "p").first()) == (1.0, 0.0, 0.0, 0.0)
     cells = evaluation.confusion_matrix(df, "a", "p").orderBy("actual").collect()
-    assert [tuple(r) for r in cells] == [(0, 2, 0), (1, 0, 0)]
+    assert [tuple(r) for r in cells] == [(0, 2, 0, 0), (1, 0, 0, 0)]
     only = spark.createDataFrame([("x", "y")], "a string, p string")
     report = {r["class"]: r for r in evaluation.classification_report(only, "a", "p").collect()}
     assert report["macro avg"]["f1"] == 0.0 and report["y"]["support"] == 0

@@ -45,18 +45,23 @@ def test_row_number_of_nothing_and_descending(spark):
     assert got.sort_values("place")["id"].tolist() == expected
 
 
-@pytest.mark.parametrize("one_task_rows", [0, 10_000])
-def test_ranks_by_window_and_by_distinct_values(spark, one_task_rows):
+def test_ranks_over_whole_tables(spark):
     frame = hot_rows(500)
     frame.loc[::50, "value"] = None
-    ranked = with_ranks(spark.createDataFrame(frame), {"up": ("value", False), "down": ("key", True)},
-                        one_task_rows).toPandas().sort_values("id")
+    ranked = with_ranks(spark.createDataFrame(frame), {"up": ("value", False), "down": ("key", True)}
+                        ).toPandas().sort_values("id")
     up = frame["value"].rank(method="min", na_option="bottom")
     down = frame["key"].rank(method="min", ascending=False)
     assert ranked["up"].tolist() == up.astype(int).tolist()
     assert ranked["down"].tolist() == down.astype(int).tolist()
 
 
+def test_many_groups_are_ranked(spark):
+    ranked = with_ranks(spark.range(300_000).select((F.col("id") % 150_000).alias("x"), "id"), {"r": ("x", True)})
+    wrong = ranked.filter(F.col("r") != 1 + 2 * (149_999 - F.col("x")))
+    assert ranked.count() == 300_000 and wrong.isEmpty()
+
+
 def test_quantiles_equal_numpy(spark):
     frame = hot_rows()
     frame["odd"] = np.random.default_rng(2).normal(size=len(frame))

@@ -202,8 +202,8 @@ def test_silhouettes_equal_numpy(spark):
     points = clustering.silhouette_squared_points(
         df.withColumn("v", F.array("a", "b", "c")), "v", "cluster").orderBy("id").toPandas()
     assert np.allclose(points["silhouette"], squared)
-    with pytest.raises(ValueError, match="distinct points"):
-        clustering.silhouette_exact_points(df, list("abc"), max_distinct=10)
+    with pytest.raises(Exception, match="off the grid"):
+        clustering.silhouette_exact_points(df, list("abc"), values=(1, 2)).collect()
 
 
 def test_projection_explains_what_numpy_does(spark):
