@@ -234,6 +234,8 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     def told(rows: DataFrame) -> DataFrame:
         return trees.transform(rows).withColumn("told", vector_to_array("probability")[1])
 
-    curve = IsotonicRegression(featuresCol="told", labelCol="y", predictionCol="fitted").fit(told(other_rows).select("told", "y"))
+    # rows at one score become one weighted row: the fit is the same, and a common score does not fill a task
+    steps = told(other_rows).groupBy("told").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("rows"))
+    curve = IsotonicRegression(featuresCol="told", labelCol="y", weightCol="rows", predictionCol="fitted").fit(steps)
     scored = curve.transform(told(assembler.transform(measured)).select(key, "told"))
     return final(scored.select(key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fitted"))).alias("score")))
