@@ -76,8 +76,9 @@ WITH {tfidf_sql('d', 'documents')}
 SELECT doc_id, term, tf, round(weight, 6) AS weight FROM {weights_sql('d_tf', 'd_vocab')}
 """)
 def tfidf(t: Tables):
-    fitted = features.fit_tfidf(t.documents, "text")
-    return rounded(fitted.weights(t.documents, ["doc_id"], "text"), "weight")
+    stored = checkpointed(t.documents.select("doc_id", words("text").alias("terms")))
+    fitted = features.fit_tfidf(stored, "terms", terms=F.col)
+    return rounded(fitted.weights(stored, ["doc_id"], "terms"), "weight")
 
 
 @proof("""
@@ -89,13 +90,13 @@ def class_weights(t: Tables):
 
 
 def _prepared(t: Tables):
-    """Labelled, cleaned and split texts, stored because fitting reads them several times."""
-    return checkpointed(prepared_reviews(_reviews(t), "doc_id", "score", "text"))
+    """Labelled, cleaned and split texts; their terms are what is stored."""
+    return prepared_reviews(_reviews(t), "doc_id", "score", "text")
 
 
 @proof()
 def logreg_predictions(t: Tables):
-    return compare_models(_prepared(t), "doc_id").logistic
+    return compare_models(_prepared(t), "doc_id", fit=["logistic"]).logistic
 
 
 @proof()

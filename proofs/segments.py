@@ -115,6 +115,18 @@ def silhouette_curve(t: Tables):
     return clustering.silhouette_table(rows, list(profiles.SCORES), sweep)
 
 
+@proof()
+def elbow_curve_scores(t: Tables):
+    sweep = clustering.kmeans_sweep(scored(t), list(profiles.SCORES), range(2, 9))
+    return clustering.elbow_table(t.orders, sweep)
+
+
+@proof()
+def silhouette_curve_normal(t: Tables):
+    rows = _normal(t)
+    return clustering.silhouette_table(rows, NORMED, clustering.kmeans_sweep(rows, NORMED, range(2, 9), restarts=3))
+
+
 TIER_SQL = """CASE WHEN score_recency + score_frequency + score_monetary <= 7 THEN 0
 WHEN score_recency + score_frequency + score_monetary <= 11 THEN 1 ELSE 2 END"""
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, ElementwiseProduct,
-                                Normalizer)
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,7 +125,7 @@ class Tfidf:
             F.unwrap_udt("__unit")["indices"].alias("index"),
             F.unwrap_udt("__counts")["values"].alias("tf"),
             F.unwrap_udt("__unit")["values"].alias("weight"))
-        terms = F.broadcast(self.vocabulary.select("index", "term"))
+        terms = self.vocabulary.select("index", "term")
         return (both.select(*keep, F.explode(pairs).alias("e"))
                 .select(*keep, F.col("e.index").alias("index"), F.col("e.tf").cast("long").alias("tf"),
                         F.col("e.weight").alias("weight"))
@@ -161,16 +159,13 @@ def fit_tfidf(df: DataFrame, text: str, min_df: float | int = 0.0001, max_df: fl
     kept = counted.filter((F.col("df") >= _document_share(min_df, documents))
                           & (F.col("df") <= _document_share(max_df, documents)))
     idf = F.log(F.lit(1.0 + documents) / (1 + F.col("df"))) + 1
-    chosen = kept.orderBy(F.col("total").desc(), "term").limit(max_terms)
-    stored = checkpointed(chosen.select("term", "df", "total", idf.alias("idf")))
-    if stored.isEmpty():
+    # places by range partitions: no task merges the candidates of all others
+    placed = with_row_number(kept.withColumn("__rare_last", -F.col("total")), ["__rare_last", "term"], "__place")
+    vocabulary = checkpointed(placed.filter(F.col("__place") <= max_terms).select(
+        (F.col("__place") - 1).cast("int").alias("index"), "term", "df", "total", idf.alias("idf")))
+    chosen = vocabulary.select("index", "term", "idf").orderBy("index").toPandas()
+    if chosen.empty:
         raise ValueError("no term is within the limits")
-    # each term once: the counter only has to learn the list
-    counter = CountVectorizer(inputCol="term", outputCol="tf", vocabSize=max_terms, minDF=1.0).fit(
-        stored.select(F.array("term").alias("term")))
-    names = counter.vocabulary
-    order = df.sparkSession.createDataFrame(pd.DataFrame({"index": range(len(names)), "term": names}))
-    vocabulary = checkpointed(order.select(F.col("index").cast("int"), "term").join(stored, "term"))
-    weights = dict(vocabulary.select("index", "idf").toPandas().itertuples(index=False))
+    counter = CountVectorizerModel.from_vocabulary(chosen["term"].tolist(), inputCol="term", outputCol="tf")
     return Tfidf(vocabulary, documents, counter,
-                 Vectors.dense([weights[i] for i in range(len(weights))]), terms)
+                 Vectors.dense(chosen["idf"].to_numpy()), terms)

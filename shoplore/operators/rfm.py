@@ -78,9 +78,8 @@ def rfm(orders: DataFrame, payments: DataFrame, customers: DataFrame, as_of: str
         visits = visits.filter(F.col("monetary") > 0)
     if mode != "latest":
         visits = visits.drop("recency").join(recency(orders, as_of, c, mode), c.customer)
-    # spread by key alone: the removal of repeated rows and the join then share one shuffle
-    who = (customers.select(F.col(c.customer_key).alias(c.customer), *c.attributes)
-           .repartition(c.customer).distinct())
+    # repeated rows are merged where they are, before anything moves
+    who = customers.select(F.col(c.customer_key).alias(c.customer), *c.attributes).distinct()
     return (visits.join(who, c.customer)
             .select(c.customer, *c.attributes, "frequency", "recency", "monetary"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplore.operators.ordered import exact_quantiles
+from shoplore.session import checkpointed
 
 
 def _double(column: str) -> Column:
@@ -57,6 +58,10 @@ def box_cox(value: Column, power: float) -> Column:
     return F.expm1(logarithm * F.lit(power)) / F.lit(power)
 
 
+#: Powers whose likelihood one pass works out.
+BATCH = 24
+
+
 def _centred_logs(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, tuple[int, float]]]:
     """``ln x`` less its mean; refuses values that are not positive and constant columns."""
     checks = df.agg(*[e.alias(f"{n}{i}") for i, c in enumerate(columns) for n, e in (
@@ -71,28 +76,26 @@ def _centred_logs(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dic
         if checks[f"low{i}"] == checks[f"high{i}"]:
             raise ValueError(f"{c} is constant")
         facts[c] = (checks[f"n{i}"], checks[f"log{i}"])
-    logs = df.select(*[(F.log(_double(c)) - F.lit(facts[c][1])).alias(c) for c in columns])
+    # read once for every batch of powers
+    logs = checkpointed(df.select(*[(F.log(_double(c)) - F.lit(facts[c][1])).alias(c) for c in columns]))
     return logs, facts
 
 
 def _log_likelihoods(logs: DataFrame, facts: Mapping[str, tuple[int, float]],
                      grids: Mapping[str, Sequence[float]]) -> dict[str, list[float]]:
-    """Profile log-likelihood of every power of every column's grid, in one aggregate. The powers, a few
-    dozen per column, are joined to the values, so that the generated code stays small.
+    """Profile log-likelihood of every power of every column's grid. A pass works out the variances of
+    ``BATCH`` powers side by side, so no row is multiplied and the generated code stays small.
 
     With z = ln x - m and m the mean log, the value is -n m - n/2 ln var((e^(power z) - 1) / power);
     the centring keeps the powers within range.
     """
-    spark = logs.sparkSession
-    points = spark.createDataFrame(
-        [(c, k, float(p)) for c, grid in grids.items() for k, p in enumerate(grid)],
-        "name string, place int, power double")
-    z, power = F.col("z"), F.col("power")
-    spread = F.when(power == 0, z).otherwise(F.expm1(z * power) / power)
-    variances = (logs.unpivot([], list(grids), "name", "z").filter(z.isNotNull())
-                 .join(F.broadcast(points), "name")
-                 .groupBy("name", "place").agg(F.var_pop(spread).alias("v")).collect())
-    found = {(r["name"], r["place"]): r["v"] for r in variances}
+    wanted = [(c, k, float(p)) for c, grid in grids.items() for k, p in enumerate(grid)]
+    found = {}
+    for begin in range(0, len(wanted), BATCH):
+        part = wanted[begin:begin + BATCH]
+        spreads = [F.col(c) if p == 0 else F.expm1(F.col(c) * p) / p for c, _, p in part]
+        row = logs.agg(*[F.var_pop(s).alias(f"v{i}") for i, s in enumerate(spreads)]).first()
+        found |= {(c, k): row[f"v{i}"] for i, (c, k, _) in enumerate(part)}
     return {c: [-facts[c][0] * facts[c][1] - facts[c][0] / 2 * math.log(found[c, k])
                 for k in range(len(grid))] for c, grid in grids.items()}
 

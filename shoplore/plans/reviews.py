@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,42 +36,44 @@ def prepared_reviews(reviews: DataFrame, key: str, score: str, message: str,
 
 @dataclass(frozen=True)
 class Comparison:
-    """Fitted features and models, predictions for one split and their reports."""
+    """Fitted features and the models asked for, predictions for one split and their reports."""
 
     tfidf: Tfidf
-    logistic: DataFrame
-    naive_bayes: DataFrame
-    logistic_model: Logistic
-    bayes_model: NaiveBayes
+    logistic: DataFrame | None = None
+    naive_bayes: DataFrame | None = None
+    logistic_model: Logistic | None = None
+    bayes_model: NaiveBayes | None = None
 
     def reports(self) -> DataFrame:
-        both = None
-        for name, predictions in (("logistic regression", self.logistic),
-                                  ("naive Bayes", self.naive_bayes)):
-            report = classification_report(predictions, "label", "predicted").withColumn(
-                "model", F.lit(name))
-            both = report if both is None else both.unionByName(report)
-        return both
+        made = (("logistic regression", self.logistic), ("naive Bayes", self.naive_bayes))
+        return reduce(DataFrame.unionByName, [
+            classification_report(predictions, "label", "predicted").withColumn("model", F.lit(name))
+            for name, predictions in made if predictions is not None])
 
 
 def compare_models(prepared: DataFrame, key: str, split: str = "validation",
-                   terms: Callable[[str], Column] = words) -> Comparison:
-    """Fit both classifiers on the training rows and predict the rows of ``split``.
+                   terms: Callable[[str], Column] = words,
+                   fit: Sequence[str] = ("logistic", "naive_bayes")) -> Comparison:
+    """Fit the classifiers named in ``fit`` on the training rows and predict the rows of ``split``.
 
-    The texts of both are split into terms once and stored, as five later passes read them.
+    The texts of both are split into terms once and stored, as later passes read them.
     """
+    if not fit or set(fit) - {"logistic", "naive_bayes"}:
+        raise ValueError(f"unknown classifiers: {fit}")
     stored = checkpointed(prepared.filter(F.col("split").isin("train", split))
                           .select(key, "label", "split", terms("text").alias("terms")))
     train = stored.filter(F.col("split") == "train")
     judged = stored.filter(F.col("split") == split)
-    tfidf = fit_tfidf(train, "terms", terms=F.col)
-
-    weighted = with_class_weight(tfidf.vectors(train, "terms"), "label")
-    model = fit_logistic(weighted, "features", "label", "weight")
-    logistic = model.predict(tfidf.vectors(judged, "terms"), "features").select(
-        key, "label", "probability", "predicted")
-
-    bayes = fit_naive_bayes(train, tfidf.weights(train, [key, "label"], "terms"), "label")
-    guessed = bayes.scores(judged, key, tfidf.weights(judged, [key], "terms"))
-    bayes_rows = judged.select(key, "label").join(guessed.select(key, "predicted"), key)
-    return Comparison(tfidf, logistic, bayes_rows, model, bayes)
+    result = Comparison(fit_tfidf(train, "terms", terms=F.col))
+    tfidf = result.tfidf
+    if "logistic" in fit:
+        weighted = with_class_weight(tfidf.vectors(train, "terms"), "label")
+        model = fit_logistic(weighted, "features", "label", "weight")
+        result = replace(result, logistic_model=model, logistic=model.predict(
+            tfidf.vectors(judged, "terms"), "features").select(key, "label", "probability", "predicted"))
+    if "naive_bayes" in fit:
+        bayes = fit_naive_bayes(train, tfidf.weights(train, [key, "label"], "terms"), "label")
+        guessed = bayes.scores(judged, key, tfidf.weights(judged, [key], "terms"))
+        result = replace(result, bayes_model=bayes, naive_bayes=judged.select(key, "label").join(
+            guessed.select(key, "predicted"), key))
+    return result
