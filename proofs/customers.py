@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from proofs.registry import NET_PRICE_SQL, Tables, net_price, proof, rounded
 from shoplore.operators import quality, rfm as profiles
-from shoplore.session import checkpointed
+from shoplore.session import checkpointed, shared_path
+from shoplore.sources.files import create_table_as
 
 AS_OF = "2001-08-01"
 MEASURES = ["recency", "frequency", "monetary"]
@@ -77,7 +78,8 @@ def monetary(t: Tables):
 
 @proof(f"WITH {RFM_SQL} SELECT * FROM rfm")
 def rfm_table(t: Tables):
-    return profile(t)
+    """Written once as a table and read back, as later analyses do."""
+    return create_table_as(profile(t), shared_path(t.spark, "rfm"))
 
 
 @proof(f"""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +16,8 @@ from shoplore.functions import columns
 from shoplore.functions.text import words
 from shoplore.operators import evaluation, features, models, ordered
 from shoplore.plans.reviews import compare_models, prepared_reviews
-from shoplore.session import checkpointed
+from shoplore.session import checkpointed, shared_path
+from shoplore.sources import files
 
 
 def _reviews(t: Tables):
@@ -48,6 +52,16 @@ def stratified_split(t: Tables):
     return features.stratified_split(t.labels.select("doc_id", "quality"), "doc_id", "quality")
 
 
+@proof(f"WITH {SPLIT_SQL} SELECT split.doc_id, quality, split, text FROM split JOIN documents USING (doc_id)")
+def csv_splits(t: Tables):
+    """The splits with their texts, written as CSV folders and read back."""
+    split = features.stratified_split(t.labels.select("doc_id", "quality"), "doc_id", "quality")
+    rows = checkpointed(split.join(t.documents.select("doc_id", "text"), "doc_id"))
+    folder, names = shared_path(t.spark, "splits"), ("train", "validation", "test")
+    files.write_splits({n: rows.filter(F.col("split") == n) for n in names}, folder)
+    return reduce(DataFrame.unionByName, [files.read_csv(t.spark, f"{folder}/{n}", rows.schema, multiline=True) for n in names])
+
+
 @proof("SELECT doc_id, CAST(quality = 1 AS INTEGER) AS label FROM labels")
 def binary_label(t: Tables):
     return t.labels.select("doc_id", columns.binary_label(columns.sentiment(1 + 4 * F.col("quality"))).alias("label"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +37,9 @@ def _own_folder() -> tempfile.TemporaryDirectory:
     return tempfile.TemporaryDirectory(prefix="shoplore-checkpoint-", ignore_cleanup_errors=True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back, so that no later step
-    depends on recomputing it after an executor is lost.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session
-    that names none gets a temporary one.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``. Only a local session
+    that names none gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,4 +49,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
             # lives as long as this process
             folder = _own_folder().name
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and read it back, so that no later step
+    depends on recomputing it after an executor is lost."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
