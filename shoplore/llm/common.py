@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplore.session import checkpointed
+from shoplore.session import shared_path
+from shoplore.sources.files import create_table_as
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -70,11 +70,7 @@ def pieces(batch, rows: int = 256) -> Iterator:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to a new folder of the shared checkpoint folder and read it back."""
-    spark = df.sparkSession
-    checkpointed(spark.range(0))  # makes sure that there is a shared folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return create_table_as(df, shared_path(df.sparkSession, name))
 
 
 def _arrow_type(kind: T.DataType):
