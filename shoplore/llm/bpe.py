@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplore.llm.common import per_text
+from shoplore.llm.common import per_text, send_package
 
 #: Words of up to so many bytes are merged by scanning; longer ones through a heap, with the same result.
 SHORT = 48
@@ -276,6 +276,7 @@ def bpe_decode(df: DataFrame, tokenizer: Broadcast, ids: str = "ids", out: str =
         coder = _coder(tokenizer)
         return column.map(lambda x: None if x is None else coder.decode(x.tolist() if hasattr(x, "tolist") else x))
 
+    send_package(df.sparkSession)
     return df.withColumn(out, decoded(F.col(ids)))
 
 

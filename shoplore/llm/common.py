@@ -2,16 +2,49 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import shoplore
 from shoplore.session import shared_path
 from shoplore.sources.files import create_table_as
 
 
+@cache
+def _package() -> tempfile.TemporaryDirectory:
+    """A zip of this package, for as long as the driver lives."""
+    folder = tempfile.TemporaryDirectory(prefix="shoplore-code-", ignore_cleanup_errors=True)
+    root = Path(shoplore.__file__).resolve().parent
+    with zipfile.ZipFile(f"{folder.name}/shoplore.zip", "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, f"shoplore/{path.relative_to(root)}")
+    return folder
+
+
+_SENT: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Have tasks find this package even where it is not installed; once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SENT:
+        context.addPyFile(f"{_package().name}/shoplore.zip")
+        _SENT.add(context.applicationId)
+
+
+def in_arrow(df: DataFrame, function: Callable[[Iterator], Iterator], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` whose tasks have this package."""
+    send_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8. ``bytes.split`` cuts at exactly those six
     characters, while ``str.split`` would cut at every Unicode space."""
@@ -59,7 +92,7 @@ def per_text(df: DataFrame, key: str, text: str, fields: Sequence[T.StructField]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), *[pa.array(x, t) for x, t in zip(found, types)]], names)
 
-    return narrow.mapInArrow(run, schema)
+    return in_arrow(narrow, run, schema)
 
 
 def pieces(batch, rows: int = 256) -> Iterator:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplore.llm.common import fold, per_text, pieces
+from shoplore.llm.common import fold, in_arrow, per_text, pieces
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,7 @@ def fit_languages(df: DataFrame, text: str = "text", lang: str = "lang", space:
                 [pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))],
                 ["lang", "profile"])
 
-    added = (rows.mapInArrow(run, schema).select("lang", F.posexplode("profile").alias("dim", "x"))
+    added = (in_arrow(rows, run, schema).select("lang", F.posexplode("profile").alias("dim", "x"))
              .groupBy("lang", "dim").agg(F.sum("x").alias("x")))
     profiles: dict[str, list[float]] = {}
     for r in added.collect():
@@ -165,7 +165,7 @@ def language_predictions(df: DataFrame, key: str = "doc_id", text: str = "text",
         key, F.coalesce(fold(key, folds) == held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def known_language(df: DataFrame, profiles: dict[str, list[float]], text: str = "text", least_score: float = 0.2,
+def known_language(df: DataFrame, profiles: dict[str, list[float]], text: str = "text", least_score: float = 0.05,
                    space: Space = Space()) -> DataFrame:
     """The rows whose text has a language: not ``und``, and a cosine of at least ``least_score``.
 

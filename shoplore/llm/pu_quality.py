@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplore.llm.common import fold, per_text, words_of
+from shoplore.llm.common import fold, in_arrow, per_text, words_of
 from shoplore.llm.quality_rules import BLANKS, repeated_words
 from shoplore.session import checkpointed
 
@@ -124,8 +124,8 @@ def _sums(data: DataFrame, mean, scale, weights, fields: int, add) -> list[float
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
 
     assert len(weights) == width
-    parts = data.select(*MEASURES, "positive").mapInArrow(
-        run, T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))]))
+    parts = in_arrow(
+        data.select(*MEASURES, "positive"), run, T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))]))
     rows = (parts.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))).collect()
     out = [0.0] * fields
     for r in rows:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplore.llm.common import fresh, per_text, words_of
+from shoplore.llm.common import fresh, in_arrow, per_text, words_of
 from shoplore.llm.components import connected_components
 from shoplore.session import checkpointed
 
@@ -116,7 +116,7 @@ def near_links(prints: DataFrame, fingerprint: str = "fingerprint", max_bits: in
                         F.col("c.i").alias("i"), F.col("c.j").alias("j"), "f")
              .repartition("block", "at", "i", "j").sortWithinPartitions("block", "at", "i", "j"))
     schema = T.StructType([T.StructField("left", T.LongType()), T.StructField("right", T.LongType())])
-    return dealt.mapInArrow(_forest(max_bits), schema).distinct()
+    return in_arrow(dealt, _forest(max_bits), schema).distinct()
 
 
 def _forest(max_bits: int):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplore.llm.common import pieces
+from shoplore.llm.common import in_arrow, pieces
 
 _OTHER = re.compile(r"[^\w\x00-\x7f]+")
 _ASCII_OTHER = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
@@ -217,7 +217,7 @@ def leaked_items(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     narrow = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     found = None
     for block in _blocks(benchmark, item, item_text, rules):
-        part = narrow.mapInArrow(_search(df.sparkSession.sparkContext.broadcast(block), rules, item_kind, schema.names), schema)
+        part = in_arrow(narrow, _search(df.sparkSession.sparkContext.broadcast(block), rules, item_kind, schema.names), schema)
         found = part if found is None else found.unionByName(part)
     return df.sparkSession.createDataFrame([], schema) if found is None else found
 
@@ -256,8 +256,8 @@ def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item
     out = df
     for block in _blocks(benchmark, item, item_text, rules):
         packed = out.select(F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-        clean = packed.mapInArrow(_keep(df.sparkSession.sparkContext.broadcast(block), rules),
-                                  T.StructType([T.StructField("row", packed.schema["row"].dataType)]))
+        clean = in_arrow(packed, _keep(df.sparkSession.sparkContext.broadcast(block), rules),
+                         T.StructType([T.StructField("row", packed.schema["row"].dataType)]))
         out = clean.select(*[F.col("row")[c].alias(c) for c in df.columns])
     return out
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplore.llm.common import fold, per_text, pieces
+from shoplore.llm.common import fold, in_arrow, per_text, pieces
 from shoplore.session import checkpointed
 
 FEATURES = (
@@ -92,7 +92,7 @@ def learn_lexicon(texts: DataFrame, text: str, label: str, settings: ToxicitySet
     rows = texts.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
     sizes = rows.agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good")).first()
     odds = (F.log((F.col("bad") + 0.5) / (sizes["bad"] + 1.0)) - F.log((F.col("good") + 0.5) / (sizes["good"] + 1.0)))
-    found = (rows.mapInArrow(run, schema).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    found = (in_arrow(rows, run, schema).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
              .filter(F.col("bad") >= settings.least_texts).withColumn("odds", odds)
              .filter(F.col("odds") >= settings.least_odds)
              .orderBy(F.desc("odds"), "term").limit(settings.terms).collect())
