@@ -17,6 +17,8 @@ from shoplore.session import checkpointed
 # The marks of a quoted line, and lines that announce a quote.
 MARKS = r"^(?:[ \t]*>)+[ \t]?"
 ANNOUNCES = r"(?i)^.*\b(?:wrote|writes|schrieb|a écrit|escribió)\b[^:]*:[ \t\r]*$"
+#: Tables of up to so many narrow rows are broadcast, which spares the texts a shuffle; larger ones are joined by one.
+BROADCAST_ROWS = 100_000
 #: Turns are looked through in spans of so many, so that no window holds a whole conversation.
 SPAN = 4096
 
@@ -105,13 +107,18 @@ def reply_threads(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"reply chains did not end in {most_rounds} rounds")
 
 
+def _sent_if_small(df: DataFrame) -> DataFrame:
+    stored = checkpointed(df)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per message: conversation, turn, role, ``position`` in its conversation (from 0), ``reply_to``,
     ``thread`` (turn its chain of replies begins with), ``depth`` in it, ``quote_levels``, ``quoted_lines`` and
     the text without quotes.
 
     Conversations are ordered by thread, then depth, then turn. A message is known by conversation and turn; rows
-    that repeat both get a place each, in the order of role and text, and share their links. Quotes of nothing
+    that repeat both get a place each, in the order of role and a hash of the text, and share their links. Quotes of nothing
     earlier in the conversation link to nothing, nor do messages without conversation or turn; a null text stays
     null. Rows without a conversation form one. Other columns are not read.
 
@@ -119,18 +126,18 @@ def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     partitioning of all messages, sources from windows over bounded spans of turns.
     """
     links = link_replies(messages, conv, turn, text)
-    threads = reply_threads(links)
+    threads = _sent_if_small(reply_threads(links).withColumnsRenamed({"turn": "of"}))
     lines = _lines(F.col("x"))
     base = messages.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(role).alias("role"), F.col(text).alias("x")).select(
         "c", "t", "role", own_text(F.col("x")).alias("own"),
         F.when(F.col("x").isNull(), 0).otherwise(F.array_max(F.transform(lines, lambda x: x["level"]))).cast("int").alias("quote_levels"),
         F.when(F.col("x").isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: x["level"] > 0))).cast("int").alias("quoted_lines"))
-    placed = base.join(threads.withColumnsRenamed({"turn": "of"}), (F.col("c") == F.col("conv")) & (F.col("t").cast("long") == F.col("of")), "left").select(
+    placed = base.join(threads, (F.col("c") == F.col("conv")) & (F.col("t").cast("long") == F.col("of")), "left").select(
         "c", "t", "role", "own", "quote_levels", "quoted_lines", "reply_to", F.coalesce("root", F.col("t").cast("long")).alias("thread"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
-    order = ["c", "thread", "depth", "t", "role", "own"]
+    order = ["c", "thread", "depth", "t", "role", F.xxhash64("own")]
     numbered = with_row_number(placed, order, out="number")
-    first = numbered.groupBy("c").agg(F.min("number").alias("first")).withColumnRenamed("c", "of")
+    first = _sent_if_small(numbered.groupBy("c").agg(F.min("number").alias("first")).withColumnRenamed("c", "of"))
     out = numbered.join(first, F.col("c").eqNullSafe(F.col("of")))
     names = fresh([], conv, turn, role, "position", "reply_to", "thread", "depth", "quote_levels", "quoted_lines", text)
     columns = ["c", "t", "role", F.col("number") - F.col("first"), "reply_to", "thread", "depth", "quote_levels", "quoted_lines", "own"]
