@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from shoplore.llm.components import connected_components
-from shoplore.llm.simhash import anchored, fingerprint_hex, fingerprints, near_links, simhash_components
+from shoplore.llm.simhash import anchored, fingerprint_hex, fingerprints, near_links, simhash_components, without_confirmed_copies
 
 
 def brute_print(text, k=3):
@@ -105,3 +105,30 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "left long, right long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 5 for i in range(5, 40)}, 200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "left long, right long")).count() == 0
+
+
+@pytest.mark.parametrize("cell", [4, 2048])
+def test_near_copies_are_confirmed_by_their_shingles(spark, cell):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([12, 60, 200]))]
+        texts.append(words)
+        for share in (0.005, 0.02, 0.05, 0.1):
+            texts.append([f"x{rng.randrange(5000)}" if rng.random() < share else w for w in words])
+    texts = [" ".join(t) for t in texts] + ["", None, "a b c d e a b c d e a b c d e", "a b c d e a b c d e", texts and " ".join(texts[0])]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    prints = [[brute_print(t, k) for t in texts] for k in (3, 5)]
+    group, refused = list(range(len(texts))), 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        near = any(bin(p[a] ^ p[b]).count("1") <= 7 for p in prints)
+        alike = sets[a] == sets[b] or both >= 0.8 * len(sets[a] | sets[b])
+        refused += near and not alike
+        if sets[a] == sets[b] or near and alike:
+            group = [group[a] if g == group[b] else g for g in group]
+    assert refused
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in without_confirmed_copies(df, cell=cell).collect())
+    assert got == sorted({g: min(i for i, x in enumerate(group) if x == g) for g in group}.values())
+    assert without_confirmed_copies(df.limit(0)).count() == 0
