@@ -124,7 +124,7 @@ def elbow_curve_scores(t: Tables):
 @proof()
 def silhouette_curve_normal(t: Tables):
     rows = _normal(t)
-    return clustering.silhouette_table(rows, NORMED, clustering.kmeans_sweep(rows, NORMED, range(2, 9), restarts=3))
+    return clustering.silhouette_table(rows, NORMED, clustering.kmeans_sweep(rows, NORMED, range(2, 9)))
 
 
 TIER_SQL = """CASE WHEN score_recency + score_frequency + score_monetary <= 7 THEN 0

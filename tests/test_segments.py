@@ -223,3 +223,14 @@ def test_bad_measures_are_refused(spark, people):
     check_measures(people[1])
     with pytest.raises(ValueError, match="monetary"):
         check_measures(people[1].withColumn("monetary", -F.col("monetary")))
+
+
+def test_curves_of_normal_features_sweep_alike(monkeypatch):
+    from proofs import PROOFS, segments
+
+    asked = []
+    monkeypatch.setattr(segments, "_normal", lambda t: None)
+    monkeypatch.setattr(segments.clustering, "kmeans_sweep", lambda *a, **k: asked.append((a, k)))
+    monkeypatch.setattr(segments.clustering, "silhouette_table", lambda *a, **k: None)
+    PROOFS["silhouette_curve_normal"].run(None, "/root/testdata/sf0.001")
+    assert asked == [((None, segments.NORMED, range(2, 9)), {})]
