@@ -165,15 +165,17 @@ def language_predictions(df: DataFrame, key: str = "doc_id", text: str = "text",
         key, F.coalesce(fold(key, folds) == held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def known_language(df: DataFrame, profiles: dict[str, list[float]], text: str = "text", least_score: float = 0.05,
+def known_language(df: DataFrame, profiles: dict[str, list[float]], text: str = "text", least_score: float | None = None,
                    space: Space = Space()) -> DataFrame:
-    """The rows whose text has a language: not ``und``, and a cosine of at least ``least_score``.
+    """The rows whose text has a language: not ``und``, and a cosine of at least ``least_score``; if none is
+    given, of four deviations of the cosine of unlike vectors, 4 / sqrt(dims), so that chance decides nothing.
 
     All columns stay as they are. Without profiles nothing can be told, and every row with a letter stays.
     """
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     if not profiles:
         return df.filter(F.col(f"`{text}`").rlike(r"\p{L}"))
+    least_score = 4 / space.dims ** 0.5 if least_score is None else least_score
     told = identify_languages(packed, profiles, "row", "text", space)
     return (told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
             .select(*[F.col("row")[c].alias(c) for c in df.columns]))

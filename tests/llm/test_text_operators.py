@@ -300,3 +300,18 @@ def test_sharding_of_documents(spark):
     for r in found.collect():
         raw = docs[r["doc_id"]].encode()
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+
+
+def test_unlearned_scripts_have_no_language(spark):
+    import random
+
+    from shoplore.llm.language import fit_languages, known_language
+
+    rng = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    made = [(i, " ".join("".join(chr(rng.randrange(a, b)) for _ in range(rng.randrange(2, 9))) for _ in range(200)))
+            for i, (a, b) in enumerate([(0x430, 0x450), (0x3b1, 0x3c9), (0x4e00, 0x9000)] * 15)]
+    profiles = fit_languages(docs)
+    assert known_language(spark.createDataFrame(made, "doc_id long, text string"), profiles).count() == 0
+    long = docs.filter("size(split(trim(text), ' ')) >= 10")
+    assert known_language(long, profiles).count() == long.count()
