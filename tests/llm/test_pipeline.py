@@ -87,3 +87,10 @@ def test_rows_without_keys_are_told_apart(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, "q r s t"), (None, "q r s t"), (3, "q r s t"), (3, "w x y z"), (4, None), (5, "")], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), str(r["text"])) for r in without_near_copies(df).collect())
     assert got == [("3", "q r s t"), ("3", "w x y z"), ("4", "None"), ("None", "a b c d")]
+
+
+def test_unlike_texts_both_stay(spark):
+    """Fingerprints of 185 and 106 are near; their five-word shingles are similar to 0.797 only."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("doc_id IN (106, 185)")
+    assert corpus_pipeline.near_duplicates(spark, docs, SMALL).count() == 2
+    assert without_near_copies(docs, max_bits=corpus_pipeline.NEAR_BITS).count() == 1
