@@ -11,6 +11,7 @@ from shoplore.llm.pu_quality import quality_scores
 from shoplore.llm.quality_rules import BOILERPLATE, quality_rules
 from shoplore.llm.quotes import chat_line, reply_ordered
 from shoplore.llm.registry import QUERIES, query
+from shoplore.llm import scan_queries  # noqa: F401  (registers its queries)
 from shoplore.llm.shards import shuffle_into_shards
 from shoplore.llm.simhash import fingerprint_hex, simhash_components
 from shoplore.llm.tiling import leaked_items
