@@ -20,8 +20,10 @@ from shoplore.llm.common import per_text, send_package
 
 #: Words of up to so many bytes are merged by scanning; longer ones through a heap, with the same result.
 SHORT = 48
-#: A worker forgets its words when it knows so many; they are then merged again.
-REMEMBERED = 600_000
+#: A worker forgets its words when they take so many bytes, about; they are then merged again.
+REMEMBERED = 48 << 20
+#: What an entry takes besides its word and ids.
+_ENTRY = 160
 #: Longer texts are cut between two words, where no token can cross.
 SEGMENT = 1 << 20
 
@@ -79,6 +81,7 @@ class ByteBpe:
         self.specials = regex.compile("(" + "|".join(
             map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def _rank(self, left, right):
         """Ranks of pairs of parts; ``_NONE`` where they do not merge."""
@@ -157,6 +160,7 @@ class ByteBpe:
         by_length: dict[int, list] = {}
         for word in words:
             raw = word.encode()
+            self.known_bytes += _ENTRY + 3 * len(raw)
             by_length.setdefault(len(raw), []).append((word, raw))
         for length, group in by_length.items():
             if length <= SHORT:
@@ -182,8 +186,9 @@ class ByteBpe:
 
         def settle():
             nonlocal held
-            if len(self.known) > REMEMBERED:
+            if self.known_bytes > REMEMBERED:
                 self.known.clear()
+                self.known_bytes = 0
             words = set(chain.from_iterable(w for _, w in waiting if isinstance(w, list)))
             self._learn(word for word in words if word not in self.known)
             for i, w in waiting:

@@ -95,10 +95,69 @@ def per_text(df: DataFrame, key: str, text: str, fields: Sequence[T.StructField]
     return in_arrow(narrow, run, schema)
 
 
-def pieces(batch, rows: int = 256) -> Iterator:
-    """An Arrow batch in slices of at most ``rows`` rows, so that long texts do not pile up."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def pieces(batch, rows: int = 256, most_bytes: int = 4 << 20) -> Iterator:
+    """An Arrow batch in slices of at most ``rows`` rows and about ``most_bytes`` of ``text``, one row at
+    least, so that long texts do not pile up."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(ends, ends[at] + most_bytes, "right")) - 1
+        to = max(at + 1, min(at + rows, fits))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark keeps it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+class Scratch:
+    """Tables of one job in the shared checkpoint folder, which go when the job has its result."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(shared_path(self.spark, name))
+        return create_table_as(df, self.paths[-1])
+
+    def hand_over(self, df: DataFrame, name: str) -> DataFrame:
+        """Keep a table that the result still reads; it is not removed."""
+        return create_table_as(df, shared_path(self.spark, name))
+
+    def clear(self) -> None:
+        while self.paths:
+            removed(self.spark, self.paths.pop())
+
+
+#: Bits of a bitmap of hashes: 8 MB, whatever the number of hashes.
+_MAP_BITS, _ROW_BITS = 26, 15
+
+
+def bitmap_of(hashes: DataFrame) -> DataFrame:
+    """``(bucket, bits)``: which places the only column of ``hashes`` (long) falls on, in at most 2,048 rows
+    of 4 KB. The more hashes, the more places are set by chance; then it rules out less."""
+    place = F.pmod("hash", F.lit(1 << _MAP_BITS))
+    return (hashes.toDF("hash").select(place.alias("p")).groupBy(F.shiftright("p", _ROW_BITS).cast("int").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).alias("bits")))
+
+
+def split_by(df: DataFrame, column: str, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash in ``column`` is marked in the bitmap, and those it rules out; ``df`` is read for
+    each of them, without a shuffle. The bitmap is broadcast, 8 MB at most."""
+    place = F.pmod(F.col(column), F.lit(1 << _MAP_BITS))
+    inside = place.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    bucket, bits = fresh(df.columns, "map_bucket", "map_bits")
+    rows = df.join(F.broadcast(bitmap.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))),
+                   F.shiftright(place, _ROW_BITS).cast("int") == F.col(bucket), "left")
+    byte = F.conv(F.hex(F.call_function("substring", F.col(bits), (F.shiftright(inside, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.call_function("shiftright", byte, inside.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return rows.filter(is_set).drop(bucket, bits), rows.filter(~is_set).drop(bucket, bits)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

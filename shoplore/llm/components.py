@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplore.session import checkpointed
+from shoplore.llm.common import Scratch, removed
 
 
 def connected_components(edges: DataFrame, left: str = "left", right: str = "right",
-                         most_rounds: int = 60) -> DataFrame:
+                         most_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """``(vertex, component)`` for every vertex of an edge; the component is its smallest vertex.
 
     Alternates two steps: every vertex hands its smallest neighbour to its larger neighbours, then to
     its smaller ones. The number of edges never grows, and about log(vertices) squared rounds suffice
     in the worst case, a handful as a rule. Each step is one aggregate (merged before the shuffle)
-    and one join, whose hot vertices can be split at run time; rounds are checkpointed, so that the
-    lineage stays short. Loops, repeated edges and edges with a null are allowed and say nothing new.
+    and one join, whose hot vertices can be split at run time; rounds are written to folders of the shared
+    checkpoint folder, so that the lineage stays short, and a round's folder goes when the next one is there.
+    The last one stays, or goes with ``scratch``. Loops, repeated edges and edges with a null are allowed and say nothing new.
     """
     a, b = F.col(f"`{left}`"), F.col(f"`{right}`")
-    links = checkpointed(edges.select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent"))
+    scratch = scratch or Scratch(edges.sparkSession)
+    links = scratch.keep(edges.select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent"))
                          .filter(a.isNotNull() & b.isNotNull())
-                         .filter("child <> parent").distinct())
+                         .filter("child <> parent").distinct(), "links")
     begun = mark = _mark(links)
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        links = checkpointed(_small_star(_large_star(links)))
+        links = scratch.keep(_small_star(_large_star(links)), "links")
+        removed(scratch.spark, scratch.paths.pop(-2))
         before, mark = mark, _mark(links)
         if before == mark:
             break

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +18,15 @@ from pyspark.sql import types as T
 from shoplore.llm.common import fold, in_arrow, per_text, pieces
 
 
+#: N-grams whose vectors are held at once.
+BLOCK = 1024
+
+
 @dataclass(frozen=True)
 class Space:
     """Dimensions of the vectors, letters in an n-gram, and the seed of the letters' vectors."""
 
-    dims: int = 512
+    dims: int = 2048
     n: int = 3
     seed: int = 7
 
@@ -35,7 +39,7 @@ def _letter_table():
     return np.array([i if chr(i).isalpha() else 0 for i in range(0x110000)], dtype=np.int64)
 
 
-@cache
+@lru_cache(maxsize=16_384)
 def _letter(space: Space, code: int):
     import numpy as np
 
@@ -59,25 +63,29 @@ def _grams(text: str, n: int):
 
 
 def _bundle(space: Space, counted: list):
-    """One profile per row: the sum of the vectors of its n-grams times their weights."""
+    """One profile per row: the sum of the vectors of its n-grams times their weights. N-grams are bound and added
+    in blocks, so that memory does not grow with their number."""
     import numpy as np
 
     every = np.unique(np.concatenate([ids for ids, _ in counted]))
-    codes = np.stack([every >> 21 * (space.n - 1 - k) & 0x1FFFFF for k in range(space.n)])
-    letters, place = np.unique(codes, return_inverse=True)
-    vectors = np.stack([_letter(space, int(c)) for c in letters])
-    place = place.reshape(codes.shape)
-    bound = np.ones((len(every), space.dims), dtype=np.int8)
-    for k in range(space.n):
-        bound *= np.roll(vectors, space.n - 1 - k, axis=1)[place[k]]
-    bound = bound.astype(np.float32)
+    places = np.searchsorted(every, np.concatenate([ids for ids, _ in counted]))
+    order = np.argsort(places, kind="stable")
+    rows = np.repeat(np.arange(len(counted)), [len(ids) for ids, _ in counted])[order]
+    amounts, places = np.concatenate([amounts for _, amounts in counted])[order], places[order]
     out = np.zeros((len(counted), space.dims), dtype=np.float32)
-    for at in range(0, len(counted), 32):
-        part = counted[at:at + 32]
-        weights = np.zeros((len(part), len(every)), dtype=np.float32)
-        for row, (ids, amounts) in enumerate(part):
-            weights[row, np.searchsorted(every, ids)] = amounts
-        out[at:at + len(part)] = weights @ bound
+    for at in range(0, len(every), BLOCK):
+        part = every[at:at + BLOCK]
+        codes = np.stack([part >> 21 * (space.n - 1 - k) & 0x1FFFFF for k in range(space.n)])
+        letters, place = np.unique(codes, return_inverse=True)
+        place = place.reshape(codes.shape)
+        vectors = np.stack([_letter(space, int(c)) for c in letters])
+        bound = np.ones((len(part), space.dims), dtype=np.int8)
+        for k in range(space.n):
+            bound *= np.roll(vectors, space.n - 1 - k, axis=1)[place[k]]
+        a, b = np.searchsorted(places, [at, at + BLOCK])
+        weights = np.zeros((len(counted), len(part)), dtype=np.float32)
+        weights[rows[a:b], places[a:b] - at] = amounts[a:b]
+        out += weights @ bound.astype(np.float32)
     return out
 
 

@@ -84,6 +84,15 @@ def blocks(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def syndrome(value: Column, r: int) -> Column:
+    """Place (from 1) of the bit in which a value differs from the nearest word of the Hamming code of ``2^r - 1``
+    bits, 0 for a word of the code."""
+    length = (1 << r) - 1
+    masks = [sum(1 << (i - 1) for i in range(1, length + 1) if i >> j & 1) for j in range(r)]
+    return sum((F.bit_count(value.bitwiseAND(F.lit(m))).bitwiseAND(F.lit(1)) * (1 << j) for j, m in enumerate(masks)),
+               F.lit(0)).cast("int")
+
+
 def anchored(prints: DataFrame, fingerprint: str, max_bits: int = 3) -> DataFrame:
     """``(anchor, fingerprint)``: every value at every anchor within two bits, in every block."""
     parts = []
@@ -223,131 +232,3 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text",
             .groupBy(F.coalesce("component", "fingerprint").alias("component")).agg(F.min("least").alias("stays"))
             .select(F.col("stays.k").alias(k), F.col("stays.h").alias(h)))
     return named.join(stay, [k, h], "left_semi").dropDuplicates([k, h]).select(*[F.col(f"`{c}`") for c in df.columns])
-
-
-def without_confirmed_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
-                             similarity: float = 0.8, prints: tuple[int, ...] = (3, 5), max_bits: int = 7,
-                             cell: int = CELL) -> DataFrame:
-    """One row of each group of copies, the one with the smallest key, with all its columns.
-
-    Two texts are copies if their sets of ``shingle``-word shingles are equal, or if these have a Jaccard
-    similarity of at least ``similarity`` and the fingerprints for one of the shingle lengths in ``prints``
-    differ in at most ``max_bits`` bits. Fingerprints only propose, the sets decide; groups are the
-    components of confirmed links. Sets are worked out again for the texts that have a candidate, and
-    a text's set goes once to each part of its candidates. Null keys and repeated rows are treated as
-    in ``without_near_copies``.
-    """
-    import xxhash
-
-    k, h = fresh(df.columns, "row_key", "text_hash")
-    named = df.withColumns({k: F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit("")),
-                            h: F.xxhash64(F.col(f"`{text}`"))})
-    rank = F.struct(F.col(f"`{key}`").isNull().alias("no_key"), F.col(f"`{key}`").alias("key"), F.col(k).alias("k"), F.col(h).alias("h"))
-
-    def describe():
-        def work(texts):
-            rows = []
-            for words in map(words_of, texts):
-                rows.append([xxhash.xxh3_128_digest(_shingle_set(words, shingle).tobytes()), *[_simhash(words, p) for p in prints]])
-            return list(zip(*rows)) if rows else [[] for _ in range(1 + len(prints))]
-
-        return work
-
-    def gather():
-        import numpy as np
-
-        def work(texts):
-            return [[_shingle_set(words_of(t), shingle).view(np.int64) for t in texts]]
-
-        return work
-
-    fields = [T.StructField("digest", T.BinaryType()), *[T.StructField(f"f{p}", T.LongType()) for p in prints]]
-    told = checkpointed(per_text(named.select(rank.alias("rank"), F.col(f"`{text}`").alias("text")), "rank", "text", fields, describe))
-    least = checkpointed(told.groupBy("digest").agg(F.min("rank").alias("least")))
-    members = None
-    for p in prints:
-        distinct = told.select(F.col(f"f{p}").alias("f"), "digest").distinct()
-        linked = connected_components(near_links(distinct.select("f").distinct(), "f", max_bits, cell))
-        part = (distinct.join(linked, distinct["f"] == linked["vertex"], "left")
-                .select(F.lit(p).alias("kind"), F.coalesce("component", "f").alias("component"), "f", "digest"))
-        members = part if members is None else members.unionByName(part)
-    members = checkpointed(members)
-    sizes = members.groupBy("kind", "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = checkpointed(members.join(sizes, ["kind", "component"]).select(
-        "kind", "component", "f", "digest", F.ceil(F.col("n") / cell).cast("int").alias("k")))
-    wanted = met.select("digest").distinct().join(least, "digest").select(
-        "digest", F.col("least.k").alias(k), F.col("least.h").alias(h))
-    texts = named.select(k, h, F.col(f"`{text}`").alias("text")).join(wanted, [k, h]).select("digest", "text").dropDuplicates(["digest"])
-    sets = per_text(texts, "digest", "text", [T.StructField("set", T.ArrayType(T.LongType()))], gather)
-    dealt = (met.withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int"))
-             .select("kind", "component", "f", "digest", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-             .select("kind", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "f", "digest")
-             .join(sets, "digest").select("kind", "component", "i", "j", "f", "digest", "set")
-             .repartition("kind", "component", "i", "j").sortWithinPartitions("kind", "component", "i", "j"))
-    schema = T.StructType([T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType())])
-    linked = connected_components(in_arrow(dealt, _confirmed(max_bits, similarity), schema).distinct())
-    stay = (least.join(linked, least["digest"] == linked["vertex"], "left")
-            .groupBy(F.coalesce("component", "digest").alias("component")).agg(F.min("least").alias("stays"))
-            .select(F.col("stays.k").alias(k), F.col("stays.h").alias(h)))
-    return named.join(stay, [k, h], "left_semi").dropDuplicates([k, h]).select(*[F.col(f"`{c}`") for c in df.columns])
-
-
-def _confirmed(max_bits: int, similarity: float):
-    """Streams sorted cells and gives the edges of a spanning forest of the pairs within ``max_bits`` whose
-    sets are similar. A pair that is already connected is not compared again."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        def edges(f, sets):
-            n, found, root = len(f), [], np.arange(len(f))
-            sizes = np.array([len(s) for s in sets])
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            every = np.concatenate(sets)
-            _, every = np.unique(every, return_inverse=True)
-            mark = np.zeros(every.max(initial=0) + 1, dtype=np.int64)
-            for i in range(n - 1):
-                later = i + 1 + np.flatnonzero(
-                    (np.bitwise_count(f[i] ^ f[i + 1:]) <= max_bits) & (root[i + 1:] != root[i])
-                    & (np.minimum(sizes[i], sizes[i + 1:]) >= similarity * np.maximum(sizes[i], sizes[i + 1:])))
-                if not len(later):
-                    continue
-                own = every[starts[i]:starts[i + 1]]
-                mark[own] = 1
-                for j in later.tolist():
-                    if root[i] == root[j]:
-                        continue
-                    both = int(mark[every[starts[j]:starts[j + 1]]].sum())
-                    if both >= similarity * (sizes[i] + sizes[j] - both):
-                        root[root == root[j]] = root[i]
-                        found.append((i, j))
-                mark[own] = 0
-            return found
-
-        def links(rows):
-            batch = pa.Table.from_batches(rows).combine_chunks()
-            f = batch.column("f").to_numpy().view(np.uint64)
-            digests = batch.column("digest").to_pylist()
-            sets = [s.values.to_numpy() for s in batch.column("set")]
-            found = edges(f, sets)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([digests[i] for i, _ in found], pa.binary()), pa.array([digests[j] for _, j in found], pa.binary())],
-                ["left", "right"])
-
-        held, last = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("kind", "component", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts, cuts[1:]):
-                if held and tuple(keys[a]) != last:
-                    yield links(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = tuple(keys[a])
-        if held:
-            yield links(held)
-
-    return run

@@ -8,6 +8,7 @@ the item under tiles does not depend on the order of its passages.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoplore.llm.common import in_arrow, pieces
+from shoplore.session import checkpointed
 
 _OTHER = re.compile(r"[^\w\x00-\x7f]+")
 _ASCII_OTHER = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
@@ -42,78 +44,122 @@ def tokens(text: str | None) -> list[bytes]:
     return _OTHER.sub(" ", text.lower()).encode("utf-8", "replace").translate(_ASCII_OTHER).split()
 
 
+#: Two primes below 2^31, and a base for each drawn once from a fixed seed.
+_PRIMES = (2_147_483_647, 2_147_483_629)
+_BASES = tuple(random.Random(20_240).randrange(1 << 20, p - 1) for p in _PRIMES)
+
+
+class _Running:
+    """Running Karp-Rabin hashes of a sequence: sums of token times power up to every place, modulo two
+    primes, so that the hash of any window is one subtraction, brought to a common power."""
+
+    def __init__(self, values):
+        import numpy as np
+
+        self.sums, self.back = [], []
+        for prime, base in zip(_PRIMES, _BASES):
+            power = _powers(base, len(values), prime)
+            self.sums.append(np.concatenate([[0], np.cumsum((values + 2) % prime * power % prime)]))
+            self.back.append(_powers(pow(base, -1, prime), len(values), prime))
+
+    def windows(self, places, length: int):
+        """Hashes of the windows that begin at ``places``."""
+        first, second = ((s[places + length] - s[places]) % p * back[places] % p
+                         for s, back, p in zip(self.sums, self.back, _PRIMES))
+        return first << 31 | second
+
+
+def _powers(base: int, n: int, prime: int):
+    """1, base, base squared, ... modulo a prime below 2^31, by doubling."""
+    import numpy as np
+
+    out = np.ones(max(n, 1), dtype=np.int64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done:done + more] = out[:more] * pow(base, done, prime) % prime
+        done += more
+    return out[:n]
+
+
 def greedy_tiles(item, document, min_match: int) -> list[tuple[int, int, int]]:
     """Tiles ``(place in item, place in document, length)`` of two integer arrays, longest first.
 
-    Ties go to the earlier place in the item, then in the document. For each length from the longest
-    possible down, unmarked windows of that length are hashed by a running Karp-Rabin polynomial and
-    equal hashes are compared token by token.
+    Ties go to the earlier place in the item, then in the document. The longest unmarked match is found by
+    bisection over running Karp-Rabin hashes; equal hashes are compared token by token, matches are
+    marked, and the search goes on with shorter ones.
     """
     import numpy as np
 
     item, document = np.asarray(item, dtype=np.int64), np.asarray(document, dtype=np.int64)
     free_i, free_d = np.ones(len(item), dtype=bool), np.ones(len(document), dtype=bool)
+    run_i, run_d = _Running(item), _Running(document)
     tiles: list[tuple[int, int, int]] = []
-    length = _longest(item, document, free_i, free_d, min_match)
-    while length >= min_match:
-        windows: dict[int, list[int]] = {}
-        for i, h in _hashes(item, free_i, length):
-            windows.setdefault(h, []).append(i)
-        wanted = np.fromiter(windows, dtype=np.uint64, count=len(windows))
-        found = []
-        for j, h in _hashes(document, free_d, length, wanted):
-            found += [(i, j) for i in windows.get(h, ()) if (item[i:i + length] == document[j:j + length]).all()]
-        for i, j in sorted(found):
-            if free_i[i:i + length].all() and free_d[j:j + length].all():
-                free_i[i:i + length] = False
-                free_d[j:j + length] = False
-                tiles.append((i, j, length))
-        length = _longest(item, document, free_i, free_d, min_match)
+    most = min(len(item), len(document))
+    while (length := _longest(run_i, run_d, free_i, free_d, min_match, most)) >= min_match:
+        places, own = _open_windows(run_i, free_i, length)
+        there, hashes = _open_windows(run_d, free_d, length, own)
+        order = np.lexsort((there, hashes))
+        there, hashes = there[order], hashes[order]
+        at = dict(zip(np.unique(own).tolist(), np.searchsorted(hashes, np.unique(own)).tolist()))
+        for i, h in zip(places.tolist(), own.tolist()):
+            # windows that were open and overlap a tile of the same length are marked at one of their ends
+            if not (free_i[i] and free_i[i + length - 1]):
+                continue
+            begin = at[h]
+            while begin < len(there) and hashes[begin] == h and not (free_d[there[begin]] and free_d[there[begin] + length - 1]):
+                begin += 1
+            at[h] = begin
+            while begin < len(there) and hashes[begin] == h:
+                j = int(there[begin])
+                if free_d[j] and free_d[j + length - 1] and (item[i:i + length] == document[j:j + length]).all():
+                    free_i[i:i + length] = False
+                    free_d[j:j + length] = False
+                    tiles.append((i, j, length))
+                    break
+                begin += 1
+        most = length - 1  # every match of this length is marked, or shared no more than its hash
     return tiles
 
 
-def _hashes(values, free, length: int, wanted=None):
-    """``(place, hash)`` of the windows without a marked token, only the wanted hashes if given."""
+def _open_windows(run: _Running, free, length: int, wanted=None):
+    """Places and hashes of the windows without a marked token, only those with a wanted hash if given."""
     import numpy as np
 
-    n = len(values) - length + 1
+    n = len(free) - length + 1
     if n < 1:
-        return []
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, dtype=np.uint64)
-        for k in range(length):
-            h = h * np.uint64(1_099_511_628_211) + (values[k:k + n] + 1).astype(np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     marked = np.concatenate([[0], np.cumsum(~free)])
-    ok = marked[length:] == marked[:n]
+    place = np.flatnonzero(marked[length:] == marked[:n])
+    hashes = run.windows(place, length)
     if wanted is not None:
-        ok &= np.isin(h, wanted)
-    place = np.flatnonzero(ok)
-    return list(zip(place.tolist(), h[place].tolist()))
-
+        known = np.isin(hashes, wanted)
+        place, hashes = place[known], hashes[known]
+    return place, hashes
 
-def _longest(item, document, free_i, free_d, least: int) -> int:
-    """Length of the longest unmarked common run, by bisection on hashed windows; 0 below ``least``."""
-    import numpy as np
 
+def _longest(run_i: _Running, run_d: _Running, free_i, free_d, least: int, most: int) -> int:
+    """Largest length up to ``most`` at which two unmarked windows share a hash, by bisection; 0 below ``least``.
+    No match is longer."""
     def shared(length):
-        a = {h for _, h in _hashes(item, free_i, length)}
-        if not a:
-            return False
-        wanted = np.fromiter(a, dtype=np.uint64, count=len(a))
-        return bool(_hashes(document, free_d, length, wanted))
+        own = _open_windows(run_i, free_i, length)[1]
+        return bool(len(own)) and bool(len(_open_windows(run_d, free_d, length, own)[0]))
 
-    low, high = 0, min(len(item), len(document))
+    if most < least or not shared(least):
+        return 0
+    low, high = least, most
     while low < high:
         middle = (low + high + 1) // 2
-        if middle < least and low == 0:
-            middle = min(least, high)
-        if shared(middle):
-            low = middle
-        else:
-            high = middle - 1
-            if high < least:
-                break
-    return low if low >= least else 0
+        low, high = (middle, high) if shared(middle) else (low, middle - 1)
+    return low
+
+
+def _seeds(values, k: int):
+    """``(place, hash)`` of all runs of ``k`` tokens."""
+    import numpy as np
+
+    n = len(values) - k + 1
+    return list(zip(range(n), _Running(values).windows(np.arange(n), k).tolist())) if n > 0 else []
 
 
 class _Block:
@@ -131,9 +177,9 @@ class _Block:
         self.seeds = {}
         for k in sorted({min(rules.min_match, len(x)) for x in self.items}):
             rows = [(h, n, i) for n, x in enumerate(self.items) if min(rules.min_match, len(x)) == k
-                    for i, h in _hashes(x, np.ones(len(x), dtype=bool), k)]
+                    for i, h in _seeds(x, k)]
             order = sorted(rows)
-            self.seeds[k] = (np.array([r[0] for r in order], dtype=np.uint64), np.array([r[1] for r in order]),
+            self.seeds[k] = (np.array([r[0] for r in order], dtype=np.int64), np.array([r[1] for r in order]),
                              np.array([r[2] for r in order]))
 
     def leaks(self, text: str | None) -> list[tuple]:
@@ -141,7 +187,7 @@ class _Block:
         import numpy as np
 
         document = np.fromiter(map(self.number.get, tokens(text), repeat(-1)), dtype=np.int64)
-        out = []
+        out, run = [], None
         for k, (hashes, of, place) in self.seeds.items():
             n = len(document) - k + 1
             if n < 1:
@@ -150,11 +196,9 @@ class _Block:
             begin = np.flatnonzero(known[k:] == known[:n])
             if not len(begin):
                 continue
-            with np.errstate(over="ignore"):
-                h = np.zeros(len(begin), dtype=np.uint64)
-                for j in range(k):
-                    h = h * np.uint64(1_099_511_628_211) + (document[begin + j] + 1).astype(np.uint64)
-            every, h = h, np.unique(h)
+            run = run or _Running(document)
+            every = run.windows(begin, k)
+            h = np.unique(every)
             low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             low, high = low[high > low], high[high > low]
             if not len(low):
@@ -204,8 +248,8 @@ def leaked_items(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     the item's tokens), ``tiles``, ``longest_tile`` and ``covered_tokens``.
 
     Tokens are runs of letters, digits and underscores in lower case. The test set is a stated query set: it
-    goes to the tasks in blocks of bounded size, and every document is read whole against every block, without a
-    shuffle. Texts that are null or without a token leak nothing, nor do such items. Repeated documents and
+    goes to the tasks in blocks of bounded size, one after the other, and every document is read whole against every
+    block, without a shuffle; with several blocks, the rows found for all but the last are stored. Texts that are null or without a token leak nothing, nor do such items. Repeated documents and
     items give repeated rows; null keys are kept. Other columns are not read. Without items or documents there
     are no rows.
     """
@@ -215,11 +259,17 @@ def leaked_items(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         T.StructField("tiles", T.IntegerType()), T.StructField("longest_tile", T.IntegerType()),
         T.StructField("covered_tokens", T.IntegerType())])
     narrow = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    found = None
+    found = part = shared = None
     for block in _blocks(benchmark, item, item_text, rules):
-        part = in_arrow(narrow, _search(df.sparkSession.sparkContext.broadcast(block), rules, item_kind, schema.names), schema)
-        found = part if found is None else found.unionByName(part)
-    return df.sparkSession.createDataFrame([], schema) if found is None else found
+        if part is not None:  # only one block is out at a time
+            part = checkpointed(part)
+            found = part if found is None else found.unionByName(part)
+            shared.unpersist()
+        shared = df.sparkSession.sparkContext.broadcast(block)
+        part = in_arrow(narrow, _search(shared, rules, item_kind, schema.names), schema)
+    if part is None:
+        return df.sparkSession.createDataFrame([], schema)
+    return part if found is None else found.unionByName(part)
 
 
 def _search(shared, rules: Tiling, item_kind, names):
@@ -253,10 +303,14 @@ def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item
 
     Decided row by row without a join, so repeated rows stay or go together and null keys do not matter.
     """
-    out = df
+    out, shared = df, None
     for block in _blocks(benchmark, item, item_text, rules):
+        if shared is not None:  # only one block is out at a time
+            out = checkpointed(out)
+            shared.unpersist()
+        shared = df.sparkSession.sparkContext.broadcast(block)
         packed = out.select(F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-        clean = in_arrow(packed, _keep(df.sparkSession.sparkContext.broadcast(block), rules),
+        clean = in_arrow(packed, _keep(shared, rules),
                          T.StructType([T.StructField("row", packed.schema["row"].dataType)]))
         out = clean.select(*[F.col("row")[c].alias(c) for c in df.columns])
     return out

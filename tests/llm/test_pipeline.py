@@ -11,8 +11,9 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from shoplore.llm import quality_rules, tiling
 from shoplore.llm.queries import QUERIES
-from shoplore.llm.simhash import _simhash, without_near_copies
+from shoplore.llm.simhash import without_near_copies
 from shoplore.llm.common import words_of
+from test_near_copies import survivors
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -22,24 +23,9 @@ def test_query_equals_sql(spark, name):
     assert compare(entry.queries()[name](spark, SMALL), connect(SMALL).sql(entry.oracle_sql()[name])) == []
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_every_operator_and_the_pipeline_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
-
-
-def brute_survivors(docs, bits):
-    """One row of each group of fingerprints that are linked, the smallest id."""
-    prints = [_simhash(words_of(d["text"]), 3) for d in docs]
-    group = list(range(len(docs)))
-    for a in range(len(docs)):
-        for b in range(a):
-            if bin((prints[a] ^ prints[b]) & (1 << 64) - 1).count("1") <= bits:
-                old, new = group[a], group[b]
-                group = [new if g == old else g for g in group]
-    best = {}
-    for g, d in zip(group, docs):
-        best[g] = min(best.get(g, d["doc_id"]), d["doc_id"])
-    return sorted(best.values())
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_equals_brute_force(spark):
@@ -52,7 +38,7 @@ def test_pipeline_equals_brute_force(spark):
         again = len({i + k for i in range(len(words) - 4) if windows[tuple(words[i:i + 5])] > 1 for k in range(5)})
         if len(words) >= 10 and 100 * again <= 20 * len(words) and 100 * (len(words) - kept) <= 70 * len(words):
             left.append(d | {"text": "\n".join(lines)})
-    stay = set(brute_survivors(left, corpus_pipeline.NEAR_BITS))
+    stay = set(survivors([(d["doc_id"], d["text"]) for d in left]))
     left = [d for d in left if d["doc_id"] in stay]
     items = [tiling.tokens(r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
 
@@ -93,4 +79,4 @@ def test_unlike_texts_both_stay(spark):
     """Fingerprints of 185 and 106 are near; their five-word shingles are similar to 0.797 only."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("doc_id IN (106, 185)")
     assert corpus_pipeline.near_duplicates(spark, docs, SMALL).count() == 2
-    assert without_near_copies(docs, max_bits=corpus_pipeline.NEAR_BITS).count() == 1
+    assert without_near_copies(docs, max_bits=7).count() == 1

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoplore.llm import bpe, language, pu_quality, quality_rules, shards, tiling, toxicity
+from shoplore.llm import bpe, common, language, pu_quality, quality_rules, shards, tiling, toxicity
 from shoplore.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -315,3 +315,111 @@ def test_unlearned_scripts_have_no_language(spark):
     assert known_language(spark.createDataFrame(made, "doc_id long, text string"), profiles).count() == 0
     long = docs.filter("size(split(trim(text), ' ')) >= 10")
     assert known_language(long, profiles).count() == long.count()
+
+
+def test_tiling_ends_on_colliding_runs():
+    """Thue-Morse runs collide under any polynomial modulo 2^64; tiles are those of brute force all the same."""
+    run = [bin(i).count("1") % 2 for i in range(1024)]
+    item, document = run, [1 - x for x in run] + [5] + run[:1023]
+    got = tiling.greedy_tiles(item, document, 4)
+    assert got[0] == (0, 1025, 1023) and sum(t[2] for t in got) == 1023
+    short = [bin(i).count("1") % 2 for i in range(64)]
+    assert tiling.greedy_tiles(short, [1 - x for x in short] + [5] + short[:63], 4) == brute_tiles(short, [1 - x for x in short] + [5] + short[:63], 4)
+    rules = tiling.Tiling()
+    block = tiling._Block([(1, [b"ab"[x:x + 1] for x in run])], rules)
+    assert block.leaks(" ".join("abxxxc"[x] for x in document))[0][:2] == (1, 1023 / 1024)
+
+
+def test_equal_hashes_are_compared(monkeypatch):
+    """With hashes that say nothing, the tokens still decide and the search still ends."""
+    monkeypatch.setattr(tiling._Running, "windows", lambda self, places, length: np.zeros(len(places), dtype=np.int64))
+    draw = np.random.default_rng(5)
+    for _ in range(30):
+        a, b = draw.integers(0, 3, draw.integers(1, 14)), draw.integers(0, 3, draw.integers(1, 20))
+        assert tiling.greedy_tiles(a, b, 3) == brute_tiles(a, b, 3)
+
+
+def test_windows_of_any_length_cost_the_same():
+    import time
+
+    draw = np.random.default_rng(6)
+    run, free = tiling._Running(draw.integers(0, 10**6, 200_000)), np.ones(200_000, dtype=bool)
+
+    def seconds(length):
+        best = 9.0
+        for _ in range(5):
+            begun = time.perf_counter()
+            tiling._open_windows(run, free, length)
+            best = min(best, time.perf_counter() - begun)
+        return best
+
+    assert seconds(1024) < 2 * seconds(4)
+
+
+def test_language_memory_of_a_text_with_many_letters():
+    import tracemalloc
+
+    draw = np.random.default_rng(7)
+    text = "".join(map(chr, draw.integers(0x4E00, 0x9FA5, 400_000)))  # 1.2 MB
+    space = language.Space()
+    tracemalloc.start()
+    ids, amounts = language._grams(text, space.n)
+    language._bundle(space, [(ids, amounts)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) > 390_000 and peak < 200e6
+
+
+def test_slices_of_a_batch_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * 3000, None, "", "y" * 9000, "z", "z" * 2500, "w" * 100] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["key", "text"])
+    parts = list(common.pieces(batch, rows=4, most_bytes=4000))
+    assert [x for p in parts for x in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows == 1 or (p.num_rows <= 4 and sum(len(x or "") for x in p.column("text").to_pylist()) <= 4000) for p in parts)
+
+
+def test_all_language_predictions_equal_the_definition(spark):
+    """Vectors letter by letter, profiles and cosines in plain loops, for every text of the smallest table."""
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:120]
+    docs += [(1000, None, "en"), (1001, "12 34", "en"), (1002, "a", None)]
+    space = language.Space(dims=128)
+
+    def letter(c):
+        return np.random.default_rng([space.seed, ord(c)]).integers(0, 2, space.dims, dtype=np.int8).astype(int) * 2 - 1 if c.isalpha() else \
+            np.random.default_rng([space.seed, 0]).integers(0, 2, space.dims, dtype=np.int8).astype(int) * 2 - 1
+
+    cached = {}
+
+    def vector(text):
+        letters = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        while "  " in letters:
+            letters = letters.replace("  ", " ")
+        total = np.zeros(space.dims)
+        grams = [letters[i:i + 3] for i in range(len(letters) - 2)]
+        for g in grams:
+            if g not in cached:
+                cached[g] = np.roll(letter(g[0]), 2) * np.roll(letter(g[1]), 1) * letter(g[2])
+            total += cached[g]
+        return total, len(grams)
+
+    profiles = {}
+    for key, text, lang in docs:
+        if text and lang and zlib.crc32(str(key).encode()) % 5 != 0 and any(c.isalpha() for c in text):
+            total, n = vector(text)
+            profiles[lang] = profiles.get(lang, 0) + total / n
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.language_predictions(df, space=space).collect()}
+    assert len(got) == len(docs)
+    for key, text, _ in docs:
+        r = got[key]
+        assert r["held_out"] == (zlib.crc32(str(key).encode()) % 5 == 0)
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total, _ = vector(text)
+        cosines = {lang: total @ p / np.linalg.norm(total) / np.linalg.norm(p) for lang, p in profiles.items()}
+        best = max(cosines, key=cosines.get)
+        assert abs(r["score"] - min(1, max(0, cosines[best]))) < 1e-4
+        assert r["lang_pred"] == best or abs(cosines[best] - cosines[r["lang_pred"]]) < 1e-5
