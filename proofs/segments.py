@@ -196,3 +196,22 @@ def pca_projection(t: Tables):
     vectors = t.embeddings.select("vec_id", "label", array_to_vector(
         F.transform("embedding", lambda v: v.cast("double"))).alias("v"))
     return rounded(clustering.project(vectors, "v")[0].drop("v"), "pc1", "pc2")
+
+
+@proof(f"""
+WITH {RFM_SQL}, m AS (SELECT CAST(frequency AS DOUBLE) AS x FROM rfm),
+run AS (SELECT x, count(*) OVER w AS n, sum(x) OVER w AS s, sum(x * x) OVER w AS q, count(*) OVER () AS all_n,
+               sum(x) OVER () AS all_s, sum(x * x) OVER () AS all_q,
+               lead(x) OVER (ORDER BY x) AS above FROM m WINDOW w AS (ORDER BY x)),  -- equal values share a window
+cuts AS (SELECT *, q - s * s / n + (all_q - q) - (all_s - s) * (all_s - s) / (all_n - n) AS cost
+         FROM run WHERE n < all_n AND above > x),
+best AS (SELECT * FROM cuts ORDER BY cost LIMIT 1)
+SELECT 0 AS cluster, CAST(n AS BIGINT) AS members, round(s / n, 6) AS centre, round(cost, 3) AS cost FROM best
+UNION ALL SELECT 1, CAST(all_n - n AS BIGINT), round((all_s - s) / (all_n - n), 6), round(cost, 3) FROM best
+""")
+def kmeans_two_groups(t: Tables):
+    """Two clusters of one measure: the best cut of the sorted values."""
+    rows = measures(t).select(F.col("frequency").cast("double").alias("x"))
+    model = clustering.kmeans(rows, ["x"], 2, tolerance=0.0)
+    found = model.label(rows).groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.avg("x").alias("centre"))
+    return rounded(rounded(found.withColumn("cost", F.lit(model.cost)), "cost", places=3), "centre")

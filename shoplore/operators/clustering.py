@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import partial
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,75 +16,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shoplore.operators import lloyd
+
 VECTOR = "__features"
-RAW = "__cluster"
-WEIGHT = "__weight"
 
 
 @dataclass(frozen=True)
 class Clustering:
-    """A fitted model whose labels are numbered by the order of their centres."""
+    """Centres, numbered by their order, what they cost, and how the search for them ended."""
 
-    model: KMeansModel
     features: tuple[str, ...]
-    order: tuple[int, ...]
-
-    @property
-    def cost(self) -> float:
-        return self.model.summary.trainingCost
-
-    @property
-    def centres(self) -> list[list[float]]:
-        raw = self.model.clusterCenters()
-        return [[float(x) for x in raw[i]] for i in self.order]
+    centres: list[list[float]]
+    cost: float
+    steps: int = 0
+    converged: bool = True
 
     def label(self, df: DataFrame, out: str = "cluster") -> DataFrame:
-        """Add the label; every other column, the key among them, stays with its row."""
-        number = {old: new for new, old in enumerate(self.order)}
-        names = F.array(*[F.lit(number[i]) for i in range(len(number))])
-        labelled = self.model.transform(with_vector(df, self.features))
-        return labelled.withColumn(out, names[F.col(RAW)]).drop(VECTOR, RAW)
+        """Add the number of the nearest centre; every other column, the key among them, stays with its row."""
+        gaps = F.array(*[sum(((F.col(f).cast("double") - F.lit(x)) ** 2 for f, x in zip(self.features, centre)), F.lit(0.0))
+                         for centre in self.centres])
+        return df.withColumn(out, F.array_position(gaps, F.array_min(gaps)).cast("int") - 1)
 
 
 def with_vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(df)
 
 
-def _fit(vectors: DataFrame, k: int, seed: int, iterations: int) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=iterations, featuresCol=VECTOR, predictionCol=RAW,
-                  weightCol=WEIGHT).fit(vectors)
-
-
 def kmeans_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int], restarts: int = 10,
-                 seed: int = 808, iterations: int = 100, parallelism: int = 8) -> dict[int, Clustering]:
-    """For every k the cheapest of ``restarts`` fits. Equal rows are merged into weighted ones first, which
-    changes no cost: for scores few are left, however many rows there are. The vectors are kept for
-    all fits, which overlap so that short iterations do not leave the cluster idle."""
-    merged = (df.select(*[F.col(f).cast("double").alias(f) for f in features]).groupBy(*features)
-              .agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)))
-    vectors = with_vector(merged, features).select(VECTOR, WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        jobs = [(k, seed + r) for k in ks for r in range(restarts)]
-        # one wrapper per fit: each gets its own copy of the session's thread properties
-        runs = [inheritable_thread_target(df.sparkSession)(partial(_fit, vectors, *job, iterations))
-                for job in jobs]
-        with ThreadPoolExecutor(parallelism) as pool:
-            models = list(pool.map(lambda run: run(), runs))
-        fits = [(k, model) for (k, _), model in zip(jobs, models)]
-    finally:
-        vectors.unpersist()
+                 seed: int = 808, iterations: int = 300, tolerance: float = 1e-4) -> dict[int, Clustering]:
+    """For every k the cheapest of ``restarts`` fits, all of them fitted in the same passes over the rows. A fit
+    that still moves after ``iterations`` steps says so, and the sweep warns."""
+    with lloyd.stored_points(df, features, seed) as points:
+        fits = lloyd.sweep(points, list(ks), restarts, seed, iterations, tolerance)
     best = {}
-    for k in ks:
-        model = min((m for size, m in fits if size == k), key=lambda m: m.summary.trainingCost)
-        centres = model.clusterCenters()
-        order = sorted(range(len(centres)), key=lambda i: tuple(centres[i]))
-        best[k] = Clustering(model, tuple(features), tuple(order))
+    for k, found in fits.items():
+        fit = min(found, key=lambda f: f.cost)
+        centres = sorted([float(x) for x in c] for c in fit.centres)
+        best[k] = Clustering(tuple(features), centres, fit.cost, fit.steps, fit.converged)
+    if moving := [k for k, c in best.items() if not c.converged]:
+        warnings.warn(f"k-means still moved after {iterations} steps for k = {moving}", stacklevel=2)
     return best
 
 
 def kmeans(df: DataFrame, features: Sequence[str], k: int, restarts: int = 10, seed: int = 808,
-           iterations: int = 100) -> Clustering:
-    return kmeans_sweep(df, features, [k], restarts, seed, iterations)[k]
+           iterations: int = 300, tolerance: float = 1e-4) -> Clustering:
+    return kmeans_sweep(df, features, [k], restarts, seed, iterations, tolerance)[k]
 
 
 def centres_table(df: DataFrame, clustering: Clustering) -> DataFrame:
@@ -125,7 +99,10 @@ def silhouette(labelled: DataFrame, features: Sequence[str], cluster: str = "clu
 
 def silhouette_table(df: DataFrame, features: Sequence[str], sweep: dict[int, Clustering]) -> DataFrame:
     """``(k, silhouette)`` for every fitted k."""
-    rows = [(k, silhouette(c.label(df), features)) for k, c in sorted(sweep.items())]
+    found = sorted(sweep.items())
+    with lloyd.stored_points(df, features, 0) as points:
+        scores = lloyd.squared_silhouettes(points, [np.array(c.centres) for _, c in found])
+    rows = [(k, s) for (k, _), s in zip(found, scores)]
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shoplore.operators import clustering, quality, rfm, scaling
+from shoplore.operators import clustering, lloyd, quality, rfm, scaling
 from shoplore.plans.segmentation import (MEASURES, check_measures, choose_k, exact_silhouette,
                                          scaled_profile, segment)
 
@@ -166,6 +166,37 @@ def test_kmeans_finds_the_blobs(blobs):
     assert model.cost <= min(single) + 1e-9
 
 
+def test_sweep_steps_equal_plain_lloyd(blobs):
+    """From the same centres a pass for several models moves each as a plain loop would."""
+    frame, df = blobs
+    x = frame[["x", "y"]].to_numpy()
+    with lloyd.stored_points(df, ["x", "y"], 1) as points:
+        models = [x[:3] - points.mean, x[5:10] - points.mean, np.array([[1e6, 1e6], [0.0, 0.0]])]
+        moved, costs = lloyd._step(points, models)
+        for model, new, cost in zip(models, moved, costs):
+            gaps = ((x[:, None] - points.mean - model[None]) ** 2).sum(axis=2)
+            near = gaps.argmin(axis=1)
+            want = [(x[near == i] - points.mean).mean(axis=0) if (near == i).any() else model[i] for i in range(len(model))]
+            assert np.allclose(new, want) and cost == pytest.approx(gaps.min(axis=1).sum())
+        two = [m + points.mean for m in moved[:2]]
+        got = lloyd.squared_silhouettes(points, two)
+    for centres, score in zip(two, got):
+        labels = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert score == pytest.approx(silhouettes(x, labels, 2).mean())
+
+
+def test_sweep_reports_how_it_ended(spark, blobs):
+    _, df = blobs
+    with pytest.warns(UserWarning, match="still moved after 1 steps"):
+        found = clustering.kmeans_sweep(df, ["x", "y"], [6], restarts=1, iterations=1, tolerance=0.0)[6]
+    assert not found.converged and found.steps == 1
+    assert clustering.kmeans(df, ["x", "y"], 4, restarts=2).converged
+    same = spark.range(50).select(F.lit(2.0).alias("x"), F.lit(3.0).alias("y"))
+    assert clustering.kmeans(same, ["x", "y"], 3, restarts=2).centres == [[2.0, 3.0]]
+    with pytest.raises(Exception, match="a feature has no value"):
+        clustering.kmeans(same.withColumn("y", F.lit(None).cast("double")), ["x", "y"], 2)
+
+
 def test_segments_keep_every_customer(people):
     _, df = people
     scored = rfm.rfm_scores(df, "id")
