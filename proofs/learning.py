@@ -143,9 +143,9 @@ def naive_bayes(t: Tables):
     stored = checkpointed(prepared.select("doc_id", "label", "split", words("text").alias("terms")))
     train, judged = (stored.filter(F.col("split") == s) for s in ("train", "validation"))
     fitted = features.fit_tfidf(train, "terms", terms=F.col)
-    model = models.fit_naive_bayes(train, fitted.weights(train, ["doc_id", "label"], "terms"), "label")
-    scores = model.scores(judged, "doc_id", fitted.weights(judged, ["doc_id"], "terms"))
-    return rounded(scores, "score_0", "score_1")
+    model = models.fit_term_matrix(fitted.vectors(train, "terms"), "features", "label")
+    scores = model.predict(fitted.vectors(judged, "terms"), "features")
+    return rounded(scores.select("doc_id", "score_0", "score_1", "predicted"), "score_0", "score_1")
 
 
 @proof("""

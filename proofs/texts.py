@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from proofs.registry import Tables, proof, rounded
@@ -121,6 +119,42 @@ SELECT regexp_replace(word, '(mente|tion|s)$', '') AS stem, count(*) AS words, C
 FROM counted GROUP BY 1
 """)
 def stem_vocabulary(t: Tables):
-    ending = re.compile(r"(mente|tion|s)$")
     counts = counting.word_counts(t.documents, "text")
-    return counting.stem_vocabulary(counts, lambda word: ending.sub("", word))
+    return counting.stem_vocabulary(counts, [counting.Suffix(1, ending) for ending in ("mente", "tion", "s")])
+
+
+@proof(f"""
+WITH counted AS (SELECT word, count(*) AS n FROM (SELECT {TOKENS_SQL} AS word FROM documents) GROUP BY 1),
+one AS (SELECT n, CASE WHEN ends_with(word, 'ies') AND length(word) >= 5 THEN left(word, length(word) - 3) || 'y'
+  WHEN ends_with(word, 'es') AND length(word) >= 5 THEN left(word, length(word) - 2)
+  WHEN ends_with(word, 's') AND length(word) >= 4 THEN left(word, length(word) - 1) ELSE word END AS w FROM counted),
+two AS (SELECT n, CASE WHEN ends_with(w, 'mente') AND length(w) >= 8 THEN left(w, length(w) - 5)
+  WHEN ends_with(w, 'ción') AND length(w) >= 7 THEN left(w, length(w) - 4) || 'r'
+  WHEN ends_with(w, 'tion') AND length(w) >= 7 THEN left(w, length(w) - 4) || 't' ELSE w END AS w FROM one),
+three AS (SELECT n, CASE WHEN regexp_matches(w, '^.{{2,}}[aeo]$') THEN left(w, length(w) - 1) ELSE w END AS stem FROM two)
+SELECT stem, count(*) AS words, CAST(sum(n) AS BIGINT) AS n FROM three GROUP BY 1
+""")
+def stem_steps(t: Tables):
+    """Plurals, then endings of kinds of words, then a last vowel."""
+    rules = [counting.Suffix(1, "ies", "y", 2), counting.Suffix(1, "es", "", 3), counting.Suffix(1, "s", "", 3),
+             counting.Suffix(2, "mente", "", 3), counting.Suffix(2, "ción", "r", 3), counting.Suffix(2, "tion", "t", 3),
+             *[counting.Suffix(3, vowel, "", 2) for vowel in "aeo"]]
+    return counting.stem_vocabulary(counting.word_counts(t.documents, "text"), rules)
+
+
+_SUBSETS = {"good": "quality = 1", "bad": "quality = 0", "toxic": "toxic = 1"}
+
+
+@proof(f"""
+WITH labelled AS (SELECT text, quality, toxic FROM documents JOIN labels USING (doc_id)),
+every AS ({" UNION ALL ".join(f"SELECT '{name}' AS subset, text FROM labelled WHERE {rule}" for name, rule in _SUBSETS.items())}),
+counted AS (SELECT subset, word, count(*) AS n FROM (SELECT subset, {TOKENS_SQL} AS word FROM every) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY n DESC, word) AS place,
+           max(n) OVER (PARTITION BY subset) AS most FROM counted)
+SELECT subset, word, n, round(n / most::DOUBLE, 6) AS relative FROM ranked WHERE place <= 20
+""")
+def word_freq_subsets(t: Tables):
+    """Subsets that overlap: a toxic text is good or bad as well."""
+    labelled = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
+    counts = counting.subset_word_counts(labelled, "text", {n: F.expr(rule) for n, rule in _SUBSETS.items()})
+    return rounded(counting.top_words_of_subsets(counts, list(_SUBSETS)), "relative")

@@ -207,6 +207,47 @@ def fit_naive_bayes(documents: DataFrame, terms: DataFrame, label: str, weight:
     return NaiveBayes(classes, [math.log(n / total) for n in sizes.values()], table)
 
 
+@dataclass(frozen=True)
+class TermMatrix:
+    """Naive Bayes over sparse vectors: log prior and one array of log chances per class, by place in the vector."""
+
+    classes: list
+    log_prior: list[float]
+    log_chance: list[list[float]]
+
+    def predict(self, df: DataFrame, features: str, out: str = "predicted") -> DataFrame:
+        """Add ``score_0, score_1, ...`` and the likeliest class; of equal scores the first class wins. Each class's
+        array is sent along, as long as the vocabulary; a row needs no other row and nothing is shuffled."""
+        names = [f"score_{k}" for k in range(len(self.classes))]
+        table = df.sparkSession.createDataFrame([(self.log_chance,)], "c array<array<double>>")
+        indices, values = sparse_parts(features)
+        rows = df.withColumn("__c", table.scalar()).withColumn("__i", indices).withColumn("__v", values)
+        for k, name in enumerate(names):
+            products = F.zip_with("__i", "__v", lambda i, v: v * F.get(F.col("__c")[k], i))  # noqa: B023
+            rows = rows.withColumn(name, F.aggregate(products, F.lit(self.log_prior[k]), lambda total, x: total + x))
+        best = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+        predicted: Column = F.lit(None)
+        for name, c in reversed(list(zip(names, self.classes))):
+            predicted = F.when(F.col(name) == best, F.lit(c)).otherwise(predicted)
+        return rows.withColumn(out, predicted).drop("__c", "__i", "__v")
+
+
+def fit_term_matrix(train: DataFrame, features: str, label: str, alpha: float = 1.0) -> TermMatrix:
+    """Multinomial naive Bayes as :func:`fit_naive_bayes`, from sparse vectors over a vocabulary.
+
+    The vectors of a class are added up where they are, then once per class; the driver gets one dense vector
+    per class, as long as the vocabulary. For a handful of classes, as labels of texts are.
+    """
+    sums = (train.groupBy(label).agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(F.col(features))).alias("s"))
+            .orderBy(label).collect())
+    total = sum(r["n"] for r in sums)
+    chances = []
+    for r in sums:
+        weights = np.array(r["s"]) + alpha
+        chances.append(np.log(weights / weights.sum()).tolist())
+    return TermMatrix([r[label] for r in sums], [math.log(r["n"] / total) for r in sums], chances)
+
+
 def batch_score(df: DataFrame, inputs: str | Sequence[str], make_predict: Callable, returns: T.DataType,
                 out: str = "score", batch_size: int = 16,
                 shapes: list[list[int]] | None = None) -> DataFrame:

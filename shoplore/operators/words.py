@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
@@ -76,6 +77,53 @@ def top_words(counts: DataFrame, k: int = 20, by: Sequence[str] = ()) -> DataFra
     return top.withColumn("relative", F.col("n") / most)
 
 
+def subset_word_counts(df: DataFrame, text: str, subsets: Mapping[str, Column],
+                       tokens: Callable[[str], Column] = words) -> DataFrame:
+    """``(word, <subset>, ...)``: how often a word occurs in each of the subsets, which may overlap.
+
+    A text's membership travels with its words as one bit mask, so every word crosses the network once, however many
+    subsets its text is in. Texts in none are left out; an unknown condition is no membership.
+    """
+    if len(subsets) > 63:
+        raise ValueError("at most 63 subsets at a time")
+    mask = sum((F.when(condition, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, condition in enumerate(subsets.values())),
+               F.lit(0).cast("long"))
+    rows = df.select(tokens(text).alias("w"), mask.alias("m")).filter("m <> 0").select(F.explode("w").alias("word"), "m")
+    return rows.groupBy("word").agg(*[F.sum(F.shiftright("m", i).bitwiseAND(F.lit(1))).cast("long").alias(name)
+                                      for i, name in enumerate(subsets)])
+
+
+def top_words_of_subsets(counts: DataFrame, subsets: Sequence[str], k: int = 20) -> DataFrame:
+    """``(subset, word, n, relative)``: the ``k`` most frequent words of each subset, see :func:`top_words`."""
+    long = counts.unpivot(["word"], list(subsets), "subset", "n").filter("n > 0")
+    return top_words(long.select("subset", "word", "n"), k, by=["subset"])
+
+
+@dataclass(frozen=True)
+class Suffix:
+    """A word that ends with ``suffix`` gets ``replacement`` instead, if at least ``least`` characters stay before it."""
+
+    step: int
+    suffix: str
+    replacement: str = ""
+    least: int = 0
+
+
+def stem_by_rules(word: str | Column, rules: Sequence[Suffix]) -> Column:
+    """Stem a word by steps in ascending order; in each the longest suffix that fits is replaced, and a word that
+    none fits stays as it is. Plain column expressions."""
+    stem = F.col(word) if isinstance(word, str) else word
+    for step in sorted({r.step for r in rules}):
+        fitting = sorted((r for r in rules if r.step == step), key=lambda r: (-len(r.suffix), r.suffix))
+        changed = stem
+        for r in reversed(fitting):
+            stays = F.char_length(stem) - len(r.suffix)
+            changed = F.when(F.endswith(stem, F.lit(r.suffix)) & (stays >= r.least),
+                             F.concat(F.substring(stem, F.lit(1), stays), F.lit(r.replacement))).otherwise(changed)
+        stem = changed
+    return stem
+
+
 def stems_of(stemmer: Callable[[str], str]) -> Callable[[str | Column], Column]:
     """A column function for one word per row, meant for a counted vocabulary."""
 
@@ -101,7 +149,8 @@ def stem_arrays(stemmer: Callable[[str], str], remembered: int = 200_000) -> Cal
     return stem
 
 
-def stem_vocabulary(counts: DataFrame, stemmer: Callable[[str], str]) -> DataFrame:
-    """``(stem, words, n)``: each distinct word is stemmed once."""
-    return (counts.withColumn("stem", stems_of(stemmer)("word"))
+def stem_vocabulary(counts: DataFrame, stemmer: Callable[[str], str] | Sequence[Suffix]) -> DataFrame:
+    """``(stem, words, n)``: each distinct word is stemmed once, by suffix rules or by a function of the user."""
+    stem = stems_of(stemmer)("word") if callable(stemmer) else stem_by_rules("word", stemmer)
+    return (counts.withColumn("stem", stem)
             .groupBy("stem").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")))

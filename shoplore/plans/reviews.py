@@ -13,7 +13,7 @@ from shoplore.functions.columns import binary_label, sentiment
 from shoplore.functions.text import clean_text, strip_emoticons, words
 from shoplore.operators.evaluation import classification_report
 from shoplore.operators.features import (Tfidf, fit_tfidf, stratified_split, with_class_weight)
-from shoplore.operators.models import Logistic, NaiveBayes, fit_logistic, fit_naive_bayes
+from shoplore.operators.models import Logistic, TermMatrix, fit_logistic, fit_term_matrix
 from shoplore.session import checkpointed
 
 
@@ -42,7 +42,7 @@ class Comparison:
     logistic: DataFrame | None = None
     naive_bayes: DataFrame | None = None
     logistic_model: Logistic | None = None
-    bayes_model: NaiveBayes | None = None
+    bayes_model: TermMatrix | None = None
 
     def reports(self) -> DataFrame:
         made = (("logistic regression", self.logistic), ("naive Bayes", self.naive_bayes))
@@ -72,8 +72,7 @@ def compare_models(prepared: DataFrame, key: str, split: str = "validation",
         result = replace(result, logistic_model=model, logistic=model.predict(
             tfidf.vectors(judged, "terms"), "features").select(key, "label", "probability", "predicted"))
     if "naive_bayes" in fit:
-        bayes = fit_naive_bayes(train, tfidf.weights(train, [key, "label"], "terms"), "label")
-        guessed = bayes.scores(judged, key, tfidf.weights(judged, [key], "terms"))
-        result = replace(result, bayes_model=bayes, naive_bayes=judged.select(key, "label").join(
-            guessed.select(key, "predicted"), key))
+        bayes = fit_term_matrix(tfidf.vectors(train, "terms"), "features", "label")
+        result = replace(result, bayes_model=bayes, naive_bayes=bayes.predict(
+            tfidf.vectors(judged, "terms"), "features").select(key, "label", "predicted"))
     return result
