@@ -11,8 +11,10 @@ plain positive-against-unlabelled fit are spread in both sets.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,13 +63,16 @@ def measures(text: str | None) -> list[float]:
 
 @dataclass(frozen=True)
 class PuModel:
-    """Scores are sigmoid(bias + weights . (measure - mean) / scale), measures cut to 6 deviations."""
+    """Scores are sigmoid(bias + weights . (measure - mean) / scale), measures cut to 6 deviations. ``slope`` is the
+    largest derivative of the risk left at the weights, ``converged`` whether the search ended by itself."""
 
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     bias: float
     weights: tuple[float, ...]
     prior: float
+    slope: float = 0.0
+    converged: bool = True
 
 
 @dataclass(frozen=True)
@@ -163,8 +168,18 @@ class _Sums:
         self.curve = np.array(values[3 + 2 * width:]).reshape(width, width) / m
 
 
-def _minimise(data: DataFrame, mean, scale, settings: PuSettings, objective) -> list[float]:
-    """Newton steps with halving on ``objective(u, p, weights) -> value, gradient, curvature, uphill``."""
+class _Minimum(NamedTuple):
+    weights: list[float]
+    slope: float
+    converged: bool
+
+
+def _minimise(data: DataFrame, mean, scale, settings: PuSettings, objective) -> _Minimum:
+    """Newton steps with halving on ``objective(u, p, weights) -> value, gradient, curvature, uphill``.
+
+    The lowest point met whose negative part is not below zero is returned, not the last one; the start, with all
+    weights zero, is such a point. A search that the negative part turns back until the passes are used up has not
+    converged."""
     import numpy as np
 
     width = len(MEASURES) + 1
@@ -182,6 +197,7 @@ def _minimise(data: DataFrame, mean, scale, settings: PuSettings, objective) ->
 
     w = np.zeros(width)
     value, grad, curve, clipped = at(w)
+    best, ended = (value, w, grad), False
     for _ in range(settings.passes):
         step = -0.1 * grad if clipped else -np.linalg.solve(curve, grad)
         step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
@@ -190,9 +206,12 @@ def _minimise(data: DataFrame, mean, scale, settings: PuSettings, objective) ->
             step = step / 2
             new = at(w + step)
         w, (value, grad, curve, clipped) = w + step, new
+        if not clipped and value <= best[0]:
+            best = (value, w, grad)
         if np.abs(step).max() <= settings.tolerance:
+            ended = not clipped
             break
-    return w.tolist()
+    return _Minimum(best[1].tolist(), float(np.abs(best[2]).max()), ended)
 
 
 def _plain(u: _Sums, p: _Sums, w):
@@ -248,9 +267,11 @@ def fit_pu(measured: DataFrame, positives: DataFrame, key: str = "doc_id", setti
         return None
     mean = [first[f"m_{n}"] for n in MEASURES]
     scale = [max(first[f"s_{n}"] or 0.0, 1e-6) for n in MEASURES]
-    prior = _prior(data, mean, scale, _minimise(data, mean, scale, settings, _plain), settings)
-    weights = _minimise(data, mean, scale, settings, _non_negative(prior))
-    return PuModel(tuple(mean), tuple(scale), weights[0], tuple(weights[1:]), prior)
+    prior = _prior(data, mean, scale, _minimise(data, mean, scale, settings, _plain).weights, settings)
+    found = _minimise(data, mean, scale, settings, _non_negative(prior))
+    if not found.converged:
+        warnings.warn(f"the risk still fell after {settings.passes} passes (slope {found.slope:.2g})", stacklevel=2)
+    return PuModel(tuple(mean), tuple(scale), found.weights[0], tuple(found.weights[1:]), prior, found.slope, found.converged)
 
 
 def pu_scores(measured: DataFrame, model: PuModel | None, score: str = "score") -> DataFrame:

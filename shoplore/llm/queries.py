@@ -159,7 +159,7 @@ def op4_urls(table):
 
 
 OP7_SQL = """
-SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) - 1 AS position,
   CAST(NULL AS BIGINT) AS reply_to, turn AS thread, CAST(0 AS BIGINT) AS depth, CAST(0 AS INTEGER) AS quote_levels,
   CAST(0 AS INTEGER) AS quoted_lines, text,
   '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS chat

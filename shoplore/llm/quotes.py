@@ -118,7 +118,7 @@ def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     the text without quotes.
 
     Conversations are ordered by thread, then depth, then turn. A message is known by conversation and turn; rows
-    that repeat both get a place each, in the order of role and a hash of the text, and share their links. Quotes of nothing
+    that repeat both get a place each, in the order of role and the MD5 of the text (nulls first), and share their links. Quotes of nothing
     earlier in the conversation link to nothing, nor do messages without conversation or turn; a null text stays
     null. Rows without a conversation form one. Other columns are not read.
 
@@ -135,7 +135,7 @@ def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     placed = base.join(threads, (F.col("c") == F.col("conv")) & (F.col("t").cast("long") == F.col("of")), "left").select(
         "c", "t", "role", "own", "quote_levels", "quoted_lines", "reply_to", F.coalesce("root", F.col("t").cast("long")).alias("thread"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
-    order = ["c", "thread", "depth", "t", "role", F.xxhash64("own")]
+    order = ["c", "thread", "depth", "t", "role", F.md5("own")]
     numbered = with_row_number(placed, order, out="number")
     first = _sent_if_small(numbered.groupBy("c").agg(F.min("number").alias("first")).withColumnRenamed("c", "of"))
     out = numbered.join(first, F.col("c").eqNullSafe(F.col("of")))

@@ -42,12 +42,11 @@ _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]){3,}\w(?!\w)")
 
 @dataclass(frozen=True)
 class ToxicitySettings:
-    """lexicon_rows, fit_rows: most labelled texts the lexicon and the trees are learned from, as chosen
-    by a hash of the key; the sample is bounded, what is scored is not. stems: lengths of word
+    """fit_rows: most labelled texts the trees are learned from, as chosen by a hash of the key; the sample is
+    bounded, what the lexicon is counted on and what is scored is not. stems: lengths of word
     beginnings that can be terms. least_texts, least_odds: toxic texts a term needs, and log of how much
     likelier it is there. terms: most terms. near: words between a term and a second person."""
 
-    lexicon_rows: int = 20_000
     fit_rows: int = 100_000
     stems: tuple[int, ...] = (4, 5, 6)
     least_texts: int = 5
@@ -192,6 +191,14 @@ def _sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 32)) < cut)
 
 
+def isotonic(rows: DataFrame, told: str, y: str):
+    """The rising step curve of ``y`` over ``told`` with the least squares; it adds a column ``fitted``.
+
+    Rows at one score become one weighted row: the fit is the same, and a common score does not fill a task."""
+    steps = rows.groupBy(told).agg(F.avg(y).alias(y), F.count(F.lit(1)).cast("double").alias("rows"))
+    return IsotonicRegression(featuresCol=told, labelCol=y, weightCol="rows", predictionCol="fitted").fit(steps)
+
+
 def toxicity_scores(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
                     folds: int = 4, held: int = 2, threshold: float = 0.3,
                     settings: ToxicitySettings = ToxicitySettings()) -> DataFrame:
@@ -215,7 +222,7 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     if not sizes["bad"] or sizes["bad"] == sizes["n"]:
         return final(docs.withColumn("score", F.lit((sizes["bad"] or 0.0) / max(1, sizes["n"]))))
-    lexicon = learn_lexicon(docs.join(_sample(known, key, settings.lexicon_rows, sizes["n"]), key), text, "y", settings)
+    lexicon = learn_lexicon(docs.join(known, key), text, "y", settings)
     measured = checkpointed(text_features(docs, lexicon, key, text, settings))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     training = checkpointed(assembler.transform(
@@ -234,8 +241,6 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     def told(rows: DataFrame) -> DataFrame:
         return trees.transform(rows).withColumn("told", vector_to_array("probability")[1])
 
-    # rows at one score become one weighted row: the fit is the same, and a common score does not fill a task
-    steps = told(other_rows).groupBy("told").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("rows"))
-    curve = IsotonicRegression(featuresCol="told", labelCol="y", weightCol="rows", predictionCol="fitted").fit(steps)
+    curve = isotonic(told(other_rows), "told", "y")
     scored = curve.transform(told(assembler.transform(measured)).select(key, "told"))
     return final(scored.select(key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fitted"))).alias("score")))
