@@ -215,3 +215,29 @@ def kmeans_two_groups(t: Tables):
     model = clustering.kmeans(rows, ["x"], 2, tolerance=0.0)
     found = model.label(rows).groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.avg("x").alias("centre"))
     return rounded(rounded(found.withColumn("cost", F.lit(model.cost)), "cost", places=3), "centre")
+
+
+#: Fixed centres of (orders / 10, logarithm of the money spent), so that SQL can tell the clusters.
+CENTRES = {2: [[0.8, 13.5], [2.0, 15.0]], 3: [[0.5, 13.0], [1.2, 14.2], [2.2, 15.2]]}
+
+
+def _nearest_sql(k: int) -> str:
+    gaps = ", ".join(f"pow(x - {x}, 2) + pow(y - {y}, 2)" for x, y in CENTRES[k])
+    return f"SELECT {k} AS k, list_position([{gaps}], list_min([{gaps}])) AS cluster, x, y, o_custkey FROM m"
+
+
+@proof(f"""
+WITH {RFM_SQL}, m AS (SELECT o_custkey, frequency / 10.0::DOUBLE AS x, ln(CAST(monetary AS DOUBLE)) AS y FROM rfm),
+labelled AS ({" UNION ALL ".join(_nearest_sql(k) for k in CENTRES)}),
+sums AS (SELECT a.k, a.o_custkey, a.cluster, b.cluster AS other, sum(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS s, count(*) AS n
+         FROM labelled a JOIN labelled b ON a.k = b.k GROUP BY ALL),
+sides AS (SELECT k, o_custkey, max(CASE WHEN cluster = other AND n > 1 THEN s / (n - 1) END) AS a,
+                 min(CASE WHEN cluster <> other THEN s / n END) AS b FROM sums GROUP BY ALL)
+SELECT k, round(avg(coalesce((b - a) / greatest(a, b), 0)), 2) AS silhouette, TRUE AS within FROM sides GROUP BY k
+""")
+def silhouette_euclidean(t: Tables):
+    """Silhouettes of continuous measures by bounds over ball cells, next to all pairs in SQL."""
+    rows = profile(t).select((F.col("frequency") / 10.0).alias("x"), F.log(F.col("monetary").cast("double")).alias("y"))
+    sweep = {k: clustering.Clustering(("x", "y"), centres, 0.0) for k, centres in CENTRES.items()}
+    table = clustering.euclidean_silhouette_table(rows, ["x", "y"], sweep, tolerance=5e-4)
+    return rounded(table.select("k", "silhouette", (F.col("bound") <= 5e-4).alias("within")), "silhouette", places=2)

@@ -106,6 +106,19 @@ def silhouette_table(df: DataFrame, features: Sequence[str], sweep: dict[int, Cl
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
 
+def euclidean_silhouette_table(df: DataFrame, features: Sequence[str], sweep: dict[int, Clustering],
+                               tolerance: float = 1e-3) -> DataFrame:
+    """``(k, silhouette, bound)`` under Euclidean distance for every fitted k, for features of any values: the true
+    value lies within ``bound`` of the one given. A bound over ``tolerance`` warns."""
+    found = sorted(sweep.items())
+    with lloyd.stored_points(df, features, 0) as points:
+        scores = lloyd.euclidean_silhouettes(points, [np.array(c.centres) for _, c in found], tolerance)
+    if (worst := max(s.bound for s in scores)) > tolerance:
+        warnings.warn(f"silhouettes are known within {worst:.2g} only", stacklevel=2)
+    rows = [(k, s.value, s.bound) for (k, _), s in zip(found, scores)]
+    return df.sparkSession.createDataFrame(rows, "k int, silhouette double, bound double")
+
+
 def silhouette_squared_points(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     """The silhouette of every row under squared Euclidean distance, for an array column.
 

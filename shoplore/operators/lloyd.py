@@ -235,3 +235,106 @@ def squared_silhouettes(points: Points, models: Sequence[np.ndarray]) -> list[fl
         return np.array(out)
 
     return [float(s) / points.n for s in points.summed(scores)]
+
+
+@dataclass(frozen=True)
+class Bounded:
+    """A value known to lie within ``bound`` of the true one."""
+
+    value: float
+    bound: float
+
+
+def _cells(points: Points, centres: np.ndarray, sizes: Sequence[int], width: float, most: int) -> np.ndarray | None:
+    """One row per cluster and ball cell: cluster, rows, centroid, mean squared distance to the centroid, ordered by
+    cluster; None if there are more than ``most``. Tasks and the shuffle merge rows into cells."""
+    mean, dims = points.mean, len(points.mean)
+
+    def part(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1) - mean
+            at = np.floor(x / width)
+            inside = x - (at + 0.5) * width  # from the middle of the cell, so that squares lose no digits
+            sums = np.concatenate([np.ones((len(x), 1)), inside, (inside * inside).sum(axis=1)[:, None]], axis=1)
+            for place in _nearest(x, centres, sizes)[0].T:
+                keys, of = np.unique(np.concatenate([place[:, None], at], axis=1), axis=0, return_inverse=True)
+                table = np.stack([np.bincount(of.ravel(), c, len(keys)) for c in sums.T], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.list_(pa.float64())), *[pa.array(c) for c in table.T]],
+                                                 ["cell", *[f"v{j}" for j in range(dims + 2)]])
+
+    names = [f"v{j}" for j in range(dims + 2)]
+    found = (points.rows.select("x").mapInArrow(part, "cell array<double>, " + ", ".join(f"{c} double" for c in names))
+             .groupBy("cell").agg(*[F.sum(c).alias(c) for c in names]).limit(most + 1).toArrow())
+    if found.num_rows > most:
+        return None
+    keys = found["cell"].combine_chunks().flatten().to_numpy().reshape(-1, dims + 1)
+    values = np.stack([found[c].to_numpy() for c in names], axis=1)
+    middle = values[:, 1:-1] / values[:, :1]
+    spread = np.maximum(values[:, -1] / values[:, 0] - (middle * middle).sum(axis=1), 0)
+    table = np.concatenate([keys[:, :1], values[:, :1], (keys[:, 1:] + 0.5) * width + middle, spread[:, None]], axis=1)
+    return table[np.lexsort(table.T[::-1])]
+
+
+def euclidean_silhouettes(points: Points, models: Sequence[np.ndarray], tolerance: float = 1e-3,
+                          parts: int = 16, most_cells: int = 1 << 18) -> list[Bounded]:
+    """Mean silhouette under Euclidean distance of every model, each with a bound on its error.
+
+    The rows of a cluster are merged into ball cells: number, centroid c and mean squared distance v to it. The mean
+    distance from a row to the members of a cell is at least d = |x - c|, as a norm is convex, and at most
+    sqrt(d * d + v), as a root is concave. Summed over cells this bounds a row's mean distance to every cluster, and so
+    its silhouette. Cells are halved until every bound is at most ``tolerance``, or would be more than ``most_cells``;
+    then the bounds reached are returned, which say so. No pairs of rows are made: a pass costs rows times cells, and the
+    cells a bound needs do not grow with the rows, but do with the features. Rows alone in a cluster, and rows
+    without another cluster, have a silhouette of 0.
+    """
+    models = [m - points.mean for m in models]
+    centres, sizes = np.concatenate(models), [len(m) for m in models]
+    begins = np.cumsum([0, *sizes])
+    best = [Bounded(0.0, 1.0)] * len(models)
+    while max(b.bound for b in best) > tolerance:
+        table = _cells(points, centres, sizes, 4 * math.sqrt(points.variance or 1.0) / parts, most_cells)
+        if table is None:
+            break
+        exact = not table[:, -1].any()
+        place = table[:, 0].astype(int)
+        n = np.bincount(place, table[:, 1], len(centres))
+
+        def sides(x, m):
+            """Least and greatest sum of distances from the rows to the members of every cluster of model ``m``."""
+            out = np.zeros((2, len(x), sizes[m]))
+            for j in range(sizes[m]):
+                own = table[place == begins[m] + j]
+                gaps = _gaps(x, own[:, 2:-1])
+                out[0, :, j] = np.sqrt(gaps) @ own[:, 1]
+                out[1, :, j] = np.sqrt(gaps + own[:, -1]) @ own[:, 1]
+            return out
+
+        def scores(x):
+            total = np.zeros(2 * len(sizes))
+            for at in range(0, len(x), 256):
+                rows = x[at:at + 256]
+                places, every = _nearest(rows, centres, sizes)[0], np.arange(len(rows))
+                for m in range(len(sizes)):
+                    sums, count = sides(rows, m), n[begins[m]:begins[m + 1]]
+                    mine = places[:, m] - begins[m]
+                    a = sums[:, every, mine] / np.maximum(count[mine] - 1, 1)
+                    means = np.where(count > 0, sums / np.maximum(count, 1), np.inf)
+                    means[:, every, mine] = np.inf
+                    b = means.min(axis=2)
+                    for side in (0, 1):  # low: nearest others as near, own as far as can be
+                        u, v = b[side], a[1 - side]
+                        with np.errstate(invalid="ignore", divide="ignore"):
+                            s = np.where((count[mine] > 1) & np.isfinite(u) & (np.maximum(u, v) > 0), (u - v) / np.maximum(u, v), 0.0)
+                        total[2 * m + side] += s.sum()
+            return total
+
+        low, high = (points.summed(scores) / points.n).reshape(-1, 2).T
+        best = [Bounded(float(a + b) / 2, float(b - a) / 2) for a, b in zip(low, high)]
+        if exact:
+            break
+        parts *= 2
+    return best

@@ -265,3 +265,37 @@ def test_curves_of_normal_features_sweep_alike(monkeypatch):
     monkeypatch.setattr(segments.clustering, "silhouette_table", lambda *a, **k: None)
     PROOFS["silhouette_curve_normal"].run(None, "/root/testdata/sf0.001")
     assert asked == [((None, segments.NORMED, range(2, 9)), {})]
+
+
+def euclidean_by_pairs(x, centres):
+    labels = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+    gaps = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    scores = []
+    for i, own in enumerate(labels):
+        others = [gaps[i, labels == c].mean() for c in set(labels) - {own}]
+        if (labels == own).sum() == 1 or not others:
+            scores.append(0.0)
+            continue
+        a, b = gaps[i, labels == own].sum() / ((labels == own).sum() - 1), min(others)
+        scores.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return float(np.mean(scores))
+
+
+@pytest.mark.parametrize("kind", ["blobs", "repeated", "far"])
+def test_bounds_hold_the_euclidean_silhouette(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 3)) + rng.integers(0, 3, 700)[:, None] * 1.5
+    if kind == "repeated":
+        x = np.round(x)
+    if kind == "far":
+        x[0], x[1:40] = 500.0, 3.0
+    models = [x[rng.choice(len(x), k, replace=False)] + 0.01 * rng.standard_normal((k, 3)) for k in (2, 3, 5)]  # no ties
+    models += [np.array([x[0], x[0] + 1e6])]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(4)
+    with lloyd.stored_points(df, ["a", "b", "c"], 0) as points:
+        fine = lloyd.euclidean_silhouettes(points, models, tolerance=1e-3)
+        coarse = lloyd.euclidean_silhouettes(points, models, tolerance=1e-9, parts=4, most_cells=900)
+    for model, near, wide in zip(models, fine, coarse):
+        true = euclidean_by_pairs(x, model)
+        assert near.bound <= 1e-3 and abs(near.value - true) <= near.bound + 1e-6
+        assert abs(wide.value - true) <= wide.bound + 1e-6
