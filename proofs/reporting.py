@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofs.registry import NET_PRICE_SQL, Tables, net_price, proof, rounded
-from shoplore.operators import reports
+from shoplore.operators import bitmaps, reports
+from shoplore.session import checkpointed
 from shoplore.sources.files import read_table
 
 CATEGORIES = ["BRAND#2", "BRAND#9", "BRAND#17"]
@@ -223,3 +224,29 @@ def zero_payments(t: Tables):
     payments = t.lineitem.select("l_orderkey", "l_linenumber",
                                  value.otherwise(net_price()).alias("payment_value"))
     return rounded(reports.zero_payments(payments, "payment_value"), "payment_value")
+
+
+@proof("""
+SELECT count(DISTINCT l_orderkey) AS orders_cnt, count(DISTINCT l_partkey) AS products_cnt,
+       count(DISTINCT l_suppkey) AS sellers_cnt FROM lineitem
+""")
+def kpi_bitmaps(t: Tables):
+    return bitmaps.distinct_counts(t.lineitem, {
+        "orders_cnt": "l_orderkey", "products_cnt": "l_partkey", "sellers_cnt": "l_suppkey"})
+
+
+@proof("""
+SELECT 'month' AS period, CAST(date_trunc('month', l_shipdate) AS DATE) AS start, count(DISTINCT l_suppkey) AS sellers_cnt
+FROM lineitem GROUP BY 2
+UNION ALL SELECT 'year', CAST(date_trunc('year', l_shipdate) AS DATE), count(DISTINCT l_suppkey) FROM lineitem GROUP BY 2
+UNION ALL SELECT 'all', NULL, count(DISTINCT l_suppkey) FROM lineitem
+""")
+def sellers_by_period(t: Tables):
+    """Months, years and the whole time from one stored table of day bitmaps."""
+    days = checkpointed(bitmaps.key_bitmaps(t.lineitem, [F.to_date("l_shipdate").alias("day")], "l_suppkey"))
+
+    def counted(period: str, start):
+        return bitmaps.distinct_keys(days, [F.lit(period).alias("period"), start.cast("date").alias("start")], "sellers_cnt")
+
+    return (counted("month", F.trunc("day", "month")).unionByName(counted("year", F.trunc("day", "year")))
+            .unionByName(counted("all", F.lit(None))))
