@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplore.llm.common import fold, in_arrow, per_text, pieces
+from shoplore.llm.common import bitmap_of, fold, fresh, in_arrow, per_text, pieces, split_by
 from shoplore.session import checkpointed
 
 FEATURES = (
@@ -64,15 +64,11 @@ def terms_of(word: str, stems: tuple[int, ...]) -> list[str]:
     return [word, *(word[:n] + "*" for n in stems if len(word) > n)]
 
 
-def learn_lexicon(texts: DataFrame, text: str, label: str, settings: ToxicitySettings) -> dict[str, float]:
-    """Terms and their log odds, from labelled texts.
-
-    Tasks count in how many texts of each label a term occurs; counts are added before and after the
-    shuffle. The driver gets the ``terms`` strongest ones.
-    """
+def _term_counts(rows: DataFrame, stems: tuple[int, ...]) -> DataFrame:
+    """``(term, bad, good)`` of rows ``(text, label)``: in how many texts of each label a term occurs, added up per
+    slice of texts but not over slices."""
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("bad", T.LongType()),
                            T.StructField("good", T.LongType())])
-    stems = settings.stems
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -88,16 +84,65 @@ def learn_lexicon(texts: DataFrame, text: str, label: str, settings: ToxicitySet
                     [pa.array(every, pa.string()), pa.array([counts[1][t] for t in every], pa.int64()),
                      pa.array([counts[0][t] for t in every], pa.int64())], ["term", "bad", "good"])
 
-    rows = texts.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
-    sizes = rows.agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good")).first()
-    odds = (F.log((F.col("bad") + 0.5) / (sizes["bad"] + 1.0)) - F.log((F.col("good") + 0.5) / (sizes["good"] + 1.0)))
-    found = (in_arrow(rows, run, schema).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-             .filter(F.col("bad") >= settings.least_texts).withColumn("odds", odds)
+    return in_arrow(rows, run, schema)
+
+
+def _strongest(counts: DataFrame, bad: int, good: int, settings: ToxicitySettings) -> dict[str, float]:
+    """The terms of ``(term, bad, good)`` with the highest log odds, given the texts of each label."""
+    odds = (F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0)))
+    found = (counts.filter(F.col("bad") >= settings.least_texts).withColumn("odds", odds)
              .filter(F.col("odds") >= settings.least_odds)
              .orderBy(F.desc("odds"), "term").limit(settings.terms).collect())
     return {r["term"]: r["odds"] for r in found}
 
 
+def learn_lexicon(texts: DataFrame, text: str, label: str, settings: ToxicitySettings) -> dict[str, float]:
+    """Terms and their log odds, from texts that carry their label.
+
+    Tasks count in how many texts of each label a term occurs; counts are added before and after the
+    shuffle. The driver gets the ``terms`` strongest ones.
+    """
+    rows = texts.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
+    sizes = rows.agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good")).first()
+    counts = _term_counts(rows, settings.stems).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return _strongest(counts, sizes["bad"], sizes["good"], settings)
+
+
+def learn_lexicon_by_key(docs: DataFrame, known: DataFrame, key: str, text: str,
+                         settings: ToxicitySettings) -> dict[str, float]:
+    """What ``learn_lexicon`` finds for ``docs`` joined to ``known`` (``key``, ``y``; one row a key), with fewer texts moved.
+
+    Most labelled texts are clean, so clean ones are not joined to their labels: what is counted over all of
+    ``docs``, less what toxic and unlabelled texts hold, is theirs. Only toxic and unlabelled texts move, and of
+    the counts over all only those of terms in enough toxic texts. Where fewer texts are labelled than are toxic or
+    unlabelled, the labelled ones move instead. Which rows move is read from a bitmap of keys (8 MB at any size); the join
+    after it is exact. Rows without a key have no label.
+    """
+    (hashed,) = fresh(docs.columns, "key_hash")
+    rows = docs.select(F.col(key), F.col(text).alias("text"), F.xxhash64(key).alias(hashed)).filter(F.col(key).isNotNull())
+    told = checkpointed(rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).join(known.select(key, "y"), key, "left"))
+    sizes = told.groupBy("y").agg(F.sum("rows").alias("rows")).collect()
+    sizes = {r["y"]: r["rows"] for r in sizes}
+    bad, good, unlabelled = (sizes.get(y, 0) for y in (1.0, 0.0, None))
+
+    def moved(keys: DataFrame) -> DataFrame:
+        near, _ = split_by(rows, hashed, bitmap_of(keys.select(F.xxhash64(key))))
+        return near.join(keys, key)
+
+    if bad + good <= bad + unlabelled:
+        return learn_lexicon(moved(told.filter("y IS NOT NULL").select(key, "y")), "text", "y", settings)
+    odd = moved(told.filter("y IS NULL OR y = 1").select(key, F.coalesce(F.col("y"), F.lit(0.0)).cast("int").alias("label")))
+    some = checkpointed(_term_counts(odd.select("text", "label"), settings.stems).groupBy("term")
+                        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("unlabelled"))
+                        .filter(F.col("bad") >= settings.least_texts))
+    every = _term_counts(rows.select("text", F.lit(0).alias("label")), settings.stems)
+    every, _ = split_by(every.select("term", F.col("good").alias("n"), F.xxhash64("term").alias("hash")), "hash",
+                        bitmap_of(some.select(F.xxhash64("term"))))
+    counts = (every.groupBy("term").agg(F.sum("n").alias("n")).join(some, "term")
+              .select("term", "bad", (F.col("n") - F.col("bad") - F.col("unlabelled")).alias("good")))
+    return _strongest(counts, bad, good, settings)
+
+
 def toxicity_features(text: str | None, lexicon: Mapping[str, float], settings: ToxicitySettings) -> list[float]:
     """The features of a text in the order of ``FEATURES``; without words, zeros."""
     import math
@@ -222,7 +267,7 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     if not sizes["bad"] or sizes["bad"] == sizes["n"]:
         return final(docs.withColumn("score", F.lit((sizes["bad"] or 0.0) / max(1, sizes["n"]))))
-    lexicon = learn_lexicon(docs.join(known, key), text, "y", settings)
+    lexicon = learn_lexicon_by_key(docs.filter(fold(key, folds) != held), known, key, text, settings)
     measured = checkpointed(text_features(docs, lexicon, key, text, settings))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     training = checkpointed(assembler.transform(

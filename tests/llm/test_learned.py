@@ -209,6 +209,25 @@ def test_a_term_of_many_rows_is_never_sampled_away(spark):
     assert "zorgblat" in lexicon
 
 
+@pytest.mark.parametrize("labelled", [0.9, 0.2])
+def test_lexicon_by_key_equals_the_joined_one(spark, labelled):
+    """Repeated and missing keys, null texts, labels of absent documents; most or few texts labelled."""
+    rng = random.Random(3)
+    rows, labels = [(None, "zork gone"), (7, None), (7, "again zork")], [(100_000, 1.0)]
+    for i in range(400):
+        toxic = i % 8 == 0
+        body = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 12))] + (["zorkish", "Blatter!"] if toxic or i % 97 == 5 else [])
+        rows += [(i, " ".join(body))] * (2 if i % 50 == 0 else 1)
+        if rng.random() < labelled:
+            labels.append((i, float(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame(labels, "doc_id long, y double")
+    settings = replace(toxicity.ToxicitySettings(), least_texts=3, least_odds=1.0)
+    want = toxicity.learn_lexicon(docs.join(known, "doc_id"), "text", "y", settings)
+    got = toxicity.learn_lexicon_by_key(docs, known, "doc_id", "text", settings)
+    assert "blatter" in want and got == want
+
+
 def features_by_hand(text, lexicon, settings):
     """Features of a text without obfuscated words, occurrence by occurrence; capitals are a share of the
     characters of its different words."""
