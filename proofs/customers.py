@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from proofs.registry import NET_PRICE_SQL, Tables, net_price, proof, rounded
 from shoplore.operators import quality, rfm as profiles
 from shoplore.session import checkpointed, shared_path
-from shoplore.sources.files import create_table_as
+from shoplore.sources.files import create_bucketed_table, create_table_as
 
 AS_OF = "2001-08-01"
 MEASURES = ["recency", "frequency", "monetary"]
@@ -82,6 +84,20 @@ def rfm_table(t: Tables):
     return create_table_as(profile(t), shared_path(t.spark, "rfm"))
 
 
+def by_order(df, key: str, name: str, buckets: int = 32):
+    """A stored table of the session's catalog whose rows are dealt into buckets by their order."""
+    return create_bucketed_table(df, f"{name}_{uuid.uuid4().hex}", shared_path(df.sparkSession, name), [key], buckets)
+
+
+@proof(f"WITH {RFM_SQL} SELECT * FROM rfm")
+def rfm_bucketed(t: Tables):
+    """From orders and payments stored by order, which meet without a shuffle."""
+    orders = by_order(t.orders, "o_orderkey", "orders")
+    paid = by_order(profiles.payments_per_order(payments(t), STAR), "l_orderkey", "payments")
+    built = profiles.rfm(orders, paid, t.customer, AS_OF, STAR, drop_nonpositive=True)
+    return built.withColumn("monetary", F.col("monetary").cast("double"))
+
+
 @proof(f"""
 WITH {RFM_SQL}
 SELECT rfm.o_custkey, frequency, per_date.recency, monetary

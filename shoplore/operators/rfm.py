@@ -46,6 +46,13 @@ def _paid(payments: DataFrame, c: Columns) -> DataFrame:
             .agg(F.sum(money(c.payment_value)).alias("__paid"), F.lit(True).alias("__found")))
 
 
+def payments_per_order(payments: DataFrame, c: Columns = Columns()) -> DataFrame:
+    """Payments added up, one row per order under the same column names: what a stored table keyed by order holds, so
+    that an order with very many payments does not fill a bucket. Payments without an order are left out."""
+    return (payments.filter(F.col(c.payment_order).isNotNull()).groupBy(c.payment_order)
+            .agg(F.sum(money(c.payment_value)).alias(c.payment_value)))
+
+
 def monetary(orders: DataFrame, payments: DataFrame, c: Columns = Columns()) -> DataFrame:
     """Sum of a customer's payments; orders without a payment do not count. An order id that appears on
     several order rows counts once for each."""

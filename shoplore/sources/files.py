@@ -52,6 +52,21 @@ def create_table_as(df: DataFrame, path: str, partition_by: Sequence[str] = (),
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def create_bucketed_table(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int,
+                          sort_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as table ``name`` at ``path``, its rows dealt into ``buckets`` by a hash of ``keys``, and read it back.
+
+    Tables with equal buckets meet on their keys, and are grouped by them, without a shuffle. Rows
+    are dealt before they are written, so there is one file per bucket (none for an empty one) and not one per task and
+    bucket. Rows of one key share a bucket: a table in which one key holds much of the rows is added up per key first
+    or stored plain. Choose ``buckets`` for the size the table will grow to, some hundred MB each. A table that
+    has this name already is an error.
+    """
+    (df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys)
+     .sortBy(*(sort_by or keys)).option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def add_reference_rows(table: DataFrame, rows: Sequence[tuple], key: str) -> DataFrame:
     """Append literal rows whose key the table lacks, so that running it twice adds nothing.
 
