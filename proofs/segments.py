@@ -191,6 +191,26 @@ def cluster_profile(t: Tables):
     return rounded(table, *[f"{m}_mean" for m in MEASURES])
 
 
+@proof(f"""
+WITH {RFM_SQL}, m AS (SELECT o_custkey, recency / 365.0::DOUBLE AS x, ln(monetary) AS y FROM rfm),
+spread AS (SELECT var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM m),
+-- eigenvalues and eigenvectors of the symmetric matrix (a b; b c)
+roots AS (SELECT a, b, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l1, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l2
+          FROM spread),
+axes AS (SELECT l1 / (l1 + l2) AS share, b / sqrt(b * b + (l1 - a) ** 2) AS u1, (l1 - a) / sqrt(b * b + (l1 - a) ** 2) AS u2,
+                b / sqrt(b * b + (l2 - a) ** 2) AS v1, (l2 - a) / sqrt(b * b + (l2 - a) ** 2) AS v2 FROM roots)
+SELECT o_custkey, round((x * u1 + y * u2) * sign(CASE WHEN abs(u1) >= abs(u2) THEN u1 ELSE u2 END), 6) AS pc1,
+       round((x * v1 + y * v2) * sign(CASE WHEN abs(v1) >= abs(v2) THEN v1 ELSE v2 END), 6) AS pc2,
+       round(share, 6) AS first_share FROM m, axes
+""")
+def pca_two_measures(t: Tables):
+    """Two measures, for which SQL can say the components in closed form."""
+    vectors = measures(t).select("o_custkey", (F.col("recency") / 365.0).alias("years"), F.ln("monetary").alias("spent"))
+    found, shares = clustering.project(vectors, ["years", "spent"])
+    return rounded(found.withColumn("first_share", F.lit(shares[0])).select("o_custkey", "pc1", "pc2", "first_share"),
+                   "pc1", "pc2", "first_share")
+
+
 @proof()
 def pca_projection(t: Tables):
     vectors = t.embeddings.select("vec_id", "label", array_to_vector(
