@@ -238,3 +238,31 @@ def ewma_by_key(t: Tables):
     series = t.events.select("user_id", "event_id", "ts", F.sqrt("value").alias("value"))
     means = ordered.ewma_by_key(series, "user_id", ["ts", "event_id"], "value", decay=0.95)
     return rounded(means.select("user_id", "event_id", "ewma"), "ewma")
+
+
+@proof("""
+WITH RECURSIVE m AS (
+  SELECT CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_quantity AS DOUBLE) / 50 AS x,
+         sum(CASE WHEN l_returnflag = 'R' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) AS n,
+         sum(CASE WHEN l_returnflag = 'R' THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) AS k FROM lineitem GROUP BY 1, 2),
+newton AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS c, 0.0::DOUBLE AS i
+  UNION ALL
+  SELECT step + 1, c - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01), i - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01)
+  FROM (SELECT step, c, i, c + sum(x * (n * p - k)) AS g1, sum(n * p - k) AS g0, 1 + sum(n * p * (1 - p) * x * x) AS h11,
+               sum(n * p * (1 - p) * x) AS h01, sum(n * p * (1 - p)) AS h00
+        FROM (SELECT step, c, i, x, n, k, 1 / (1 + exp(-(c * x + i))) AS p FROM newton, m WHERE step < 12) GROUP BY step, c, i))
+SELECT quantity, round(1 / (1 + exp(-(c * x + i))), 4) AS probability, round(c, 4) AS coefficient, round(i, 4) AS intercept
+FROM m, newton WHERE step = 12
+""")
+def logreg_one_measure(t: Tables):
+    """One measure, an intercept and weights: SQL finds the same fit by Newton steps."""
+    rows = t.lineitem.select(
+        array_to_vector(F.array(F.col("l_quantity").cast("double") / 50)).alias("x"),
+        (F.col("l_returnflag") == "R").cast("int").alias("y"), F.when(F.col("l_returnflag") == "R", 2.0).otherwise(1.0).alias("w"))
+    model = models.fit_logistic(rows, "x", "y", "w", tolerance=1e-8)
+    kinds = t.lineitem.select(F.col("l_quantity").cast("double").alias("quantity")).distinct()
+    told = model.predict(kinds.withColumn("x", array_to_vector(F.array(F.col("quantity") / 50))), "x")
+    return told.select("quantity", F.round("probability", 4).alias("probability"),
+                       F.round(F.lit(model.coefficients[0]), 4).alias("coefficient"),
+                       F.round(F.lit(model.intercept), 4).alias("intercept"))
