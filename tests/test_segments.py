@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date
 
 import numpy as np
@@ -197,6 +198,24 @@ def test_sweep_reports_how_it_ended(spark, blobs):
         clustering.kmeans(same.withColumn("y", F.lit(None).cast("double")), ["x", "y"], 2)
 
 
+def test_two_groups_of_one_feature_are_the_best_cut(spark):
+    """Plain steps also settle at the cuts beside the best one."""
+    counts = {x: round(10 * math.exp(-((x - 10) / 4.5) ** 2)) + 1 for x in range(1, 26)}
+    x = np.repeat(list(counts), list(counts.values())).astype(float)
+    costs = {c: sum(((part - part.mean()) ** 2).sum() for part in (x[x <= c], x[x > c])) for c in range(1, 25)}
+    settled = [c for c in costs if c < (x[x <= c].mean() + x[x > c].mean()) / 2 <= c + 1]
+    assert len(settled) > 1  # so restarts may miss the best
+    df = spark.createDataFrame([(v,) for v in x.tolist()], "x double").repartition(4)
+    best = min(costs, key=costs.get)
+    want = [x[x <= best].mean(), x[x > best].mean()]
+    for seed in range(4):
+        model = clustering.kmeans(df, ["x"], 2, restarts=1, seed=seed, tolerance=0.0)
+        assert model.cost == pytest.approx(costs[best]) and np.allclose(model.centres, np.array(want)[:, None])
+    cut = clustering.best_cut(df, "x")
+    assert cut.cost == pytest.approx(costs[best]) and np.allclose(cut.centres, np.array(want)[:, None])
+    assert clustering.best_cut(spark.range(5).select(F.lit(2.0).alias("x")), "x") is None
+
+
 def test_segments_keep_every_customer(people):
     _, df = people
     scored = rfm.rfm_scores(df, "id")
