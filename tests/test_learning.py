@@ -219,3 +219,11 @@ def test_review_job_learns_an_easy_rule(spark):
         accuracy = reports[reports["class"] == "accuracy"].set_index("model")["f1"]
         assert accuracy["logistic regression"] == 1.0 and accuracy["naive Bayes"] == 1.0
         assert result.logistic.count() == result.naive_bayes.count() == 39
+
+
+def test_rows_stay_where_they_are_when_labels_meet_them(spark):
+    """Two labels would bring all texts together in two tasks."""
+    rows = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("label"), F.col("id").cast("string").alias("text"))
+    for joined in (features.stratified_split(rows, "id", "label"), features.with_class_weight(rows, "label")):
+        plan = joined._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and joined.count() == 400
