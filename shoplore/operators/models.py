@@ -54,8 +54,9 @@ def fit_logistic(train: DataFrame, features: str, label: str, weight: str | None
                  strength: float = 1.0, iterations: int = 500, tolerance: float = 1e-5) -> Logistic:
     """Minimise ``strength * sum(weight * loss) + |coefficients|^2 / 2``; the intercept is free.
 
-    Each step of the limited-memory BFGS search is one pass over the stored rows, in which every task
-    adds up its own part of the gradient. The executors add the parts, first in as many groups as the
+    Each step of the limited-memory BFGS search is one pass over the stored rows, whose vectors are kept as bytes
+    that go to Python as they are; every task adds up its own part of the gradient. The search runs in coefficients
+    scaled by the curvature at zero, without which it takes more passes the more rows there are. The executors add the parts, first in as many groups as the
     root of their number, then all; the driver gets one vector. A search that ends before the gradient
     is within ``tolerance`` warns and says so in the result. The library's own solver divides every feature by its deviation first.
     For rare words that spoils the conditioning of this objective: it is still falling after 500
@@ -63,31 +64,38 @@ def fit_logistic(train: DataFrame, features: str, label: str, weight: str | None
     """
     indices, values = sparse_parts(features)
     weights = F.col(weight) if weight else F.lit(1.0)
-    rows = checkpointed(train.select(
+    plain = train.select(
         indices.alias("i"), values.alias("v"), F.col(label).cast("double").alias("y"),
-        weights.cast("double").alias("w"), F.unwrap_udt(features)["size"].alias("size"))
-        ).withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    facts = rows.agg(F.sum("w").alias("mass"), F.max(F.coalesce("size", F.size("v"))).alias("size"),
+        weights.cast("double").alias("w"), F.coalesce(F.unwrap_udt(features)["size"], F.size("v")).alias("size"))
+    rows = checkpointed(plain.mapInArrow(_as_bytes, "i binary, v binary, y double, w double, size int")
+                        ).withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    facts = rows.agg(F.sum("w").alias("mass"), F.max("size").alias("size"),
                      F.countDistinct("part").alias("parts")).first()
     mass, size = facts["mass"], facts["size"]
     groups = max(1, math.isqrt(facts["parts"]))
     penalty = 1.0 / (strength * mass)
     context = train.sparkSession.sparkContext
 
-    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
+    def summed(x: np.ndarray, work: Callable) -> tuple[float, np.ndarray]:
         sent = context.broadcast(x)
         parts = rows.select("i", "v", "y", "w", F.pmod("part", F.lit(groups)).alias("g"))
-        sums = parts.mapInArrow(_logistic_part(sent), "g int, loss double, slope array<double>")
+        sums = parts.mapInArrow(_logistic_part(sent, work), "g int, loss double, slope array<double>")
         added = [F.sum("loss").alias("loss"), vector_to_array(Summarizer.sum(array_to_vector("slope"))).alias("slope")]
         table = sums.groupBy("g").agg(*added).agg(*added).toArrow()
         sent.unpersist()
-        slope = table["slope"].combine_chunks().flatten().to_numpy() / mass
-        loss = table["loss"].to_numpy().sum() / mass
+        return table["loss"].to_numpy().sum() / mass, table["slope"].combine_chunks().flatten().to_numpy() / mass
+
+    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, slope = summed(x, _gradient)
         slope[:-1] += penalty * x[:-1]
         return loss + penalty / 2 * float(x[:-1] @ x[:-1]), slope
 
     try:
-        best, slope = _minimise(evaluate, np.zeros(size + 1), iterations, tolerance)
+        curvature = summed(np.zeros(size + 1), _curvature)[1]
+        curvature[:-1] += penalty
+        # rare terms are scaled no further, or steps for them would leave where the curvature at zero holds
+        scale = np.minimum(1 / np.sqrt(np.maximum(curvature, 1e-300)), 32)
+        best, slope = _minimise(evaluate, np.zeros(size + 1), iterations, tolerance, scale)
     finally:
         rows.unpersist()
     left = float(np.abs(slope).max())
@@ -96,8 +104,59 @@ def fit_logistic(train: DataFrame, features: str, label: str, weight: str | None
     return Logistic([float(c) for c in best[:-1]], float(best[-1]), left, left <= tolerance)
 
 
-def _logistic_part(sent):
-    """Loss and gradient of one task's rows at the coefficients sent, the intercept last."""
+def _as_bytes(batches: Iterator) -> Iterator:
+    """Lists of places and values as the bytes of 32-bit and 64-bit numbers, without a copy of the numbers."""
+    import numpy as np
+    import pyarrow as pa
+
+    def packed(lists, kind):
+        numbers = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=kind)
+        ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer((ends * numbers.itemsize).astype(np.int32)),
+                                                               pa.py_buffer(numbers)])
+
+    for batch in batches:
+        # 32-bit offsets reach two gigabytes; slices stay far below
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            yield pa.RecordBatch.from_arrays([packed(part.column("i"), "<i4"), packed(part.column("v"), "<f8"),
+                                              *[part.column(c) for c in ("y", "w", "size")]], ["i", "v", "y", "w", "size"])
+
+
+def _unpacked(column, kind: str):
+    """Numbers and ends of the rows of a column of bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, dtype="<i8" if pa.types.is_large_binary(column.type) else "<i4")[column.offset:column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    every = np.frombuffer(data, dtype=kind, count=int(ends[-1]) // size) if data is not None and ends[-1] else np.zeros(0, dtype=kind)
+    return every[ends[0] // size:], (ends - ends[0]) // size
+
+
+def _gradient(x, place, value, row, y, w):
+    """Loss and gradient of the rows at the coefficients ``x``, the intercept last."""
+    import numpy as np
+
+    margin = x[-1] + np.bincount(row, weights=value * x[place], minlength=len(y))
+    pull = w * (1 / (1 + np.exp(-margin)) - y)
+    slope = np.bincount(place, weights=value * pull[row], minlength=len(x))
+    slope[-1] = pull.sum()
+    return float(w @ (np.logaddexp(0, margin) - y * margin)), slope
+
+
+def _curvature(x, place, value, row, y, w):
+    """The diagonal of the second derivative of the rows at coefficients of zero, where every chance is a half."""
+    import numpy as np
+
+    bend = np.bincount(place, weights=value * value * w[row] / 4, minlength=len(x))
+    bend[-1] = w.sum() / 4
+    return 0.0, bend
+
+
+def _logistic_part(sent, work: Callable):
+    """Sums of ``work`` over one task's rows."""
 
     def part(batches: Iterator) -> Iterator:
         import numpy as np
@@ -109,14 +168,12 @@ def _logistic_part(sent):
             if not batch.num_rows:
                 continue
             group = batch.column("g")[0].as_py()
-            lists, y, w = batch.column("i"), batch.column("y").to_numpy(), batch.column("w").to_numpy()
-            place, value = lists.flatten().to_numpy(), batch.column("v").flatten().to_numpy()
-            row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-            margin = x[-1] + np.bincount(row, weights=value * x[place], minlength=len(y))
-            loss += float(w @ (np.logaddexp(0, margin) - y * margin))
-            pull = w * (1 / (1 + np.exp(-margin)) - y)
-            slope[:-1] += np.bincount(place, weights=value * pull[row], minlength=len(x) - 1)
-            slope[-1] += pull.sum()
+            y, w = batch.column("y").to_numpy(), batch.column("w").to_numpy()
+            place, ends = _unpacked(batch.column("i"), "<i4")
+            value, _ = _unpacked(batch.column("v"), "<f8")
+            found, more = work(x, place, value, np.repeat(np.arange(len(y)), np.diff(ends)), y, w)
+            loss += found
+            slope += more
         if group is not None:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([group], pa.int32()), pa.array([loss]),
@@ -126,13 +183,14 @@ def _logistic_part(sent):
 
 
 def _minimise(evaluate: Callable, start: np.ndarray, iterations: int, tolerance: float,
-              memory: int = 10) -> tuple[np.ndarray, np.ndarray]:
+              scale: np.ndarray | float = 1.0, memory: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Limited-memory BFGS with step halving, for a smooth convex function: where it ends, and the
-    gradient there."""
-    x, (value, slope) = start, evaluate(start)
+    gradient there. The search is for ``x / scale``; the tolerance is for the gradient of ``x``."""
+    x, (value, plain) = start / scale, evaluate(start)
+    slope = plain * scale
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(iterations):
-        if np.abs(slope).max() <= tolerance:
+        if np.abs(plain).max() <= tolerance:
             break
         direction, kept = -slope, []
         for s, y, curve in reversed(past):
@@ -146,7 +204,8 @@ def _minimise(evaluate: Callable, start: np.ndarray, iterations: int, tolerance:
         step, fall = (1.0 if past else 1.0 / max(1.0, np.linalg.norm(slope))), slope @ direction
         while True:
             there = x + step * direction
-            next_value, next_slope = evaluate(there)
+            next_value, next_plain = evaluate(there * scale)
+            next_slope = next_plain * scale
             if next_value <= value + 1e-4 * step * fall or step < 1e-8:
                 break
             step /= 2
@@ -155,8 +214,8 @@ def _minimise(evaluate: Callable, start: np.ndarray, iterations: int, tolerance:
         s, y = there - x, next_slope - slope
         if s @ y > 0:
             past = [*past[1 - memory:], (s, y, s @ y)]
-        x, value, slope = there, next_value, next_slope
-    return x, slope
+        x, value, slope, plain = there, next_value, next_slope, next_plain
+    return x * scale, plain
 
 
 @dataclass(frozen=True)

@@ -227,3 +227,36 @@ def test_rows_stay_where_they_are_when_labels_meet_them(spark):
     for joined in (features.stratified_split(rows, "id", "label"), features.with_class_weight(rows, "label")):
         plan = joined._jdf.queryExecution().sparkPlan().toString()
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and joined.count() == 400
+
+
+def test_scaled_search_takes_fewer_passes_to_the_same_end():
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(400, 60)) * 10.0 ** -draw.uniform(0, 2, 60)
+    y = (x @ (draw.normal(size=60) / np.abs(x).mean(axis=0)) / 8 + draw.normal(size=400) > 0).astype(float)
+    passes = []
+
+    def evaluate(c):
+        passes.append(1)
+        margin = x @ c
+        return float(np.mean(np.logaddexp(0, margin) - y * margin)) + 1e-4 * c @ c / 2, x.T @ (1 / (1 + np.exp(-margin)) - y) / 400 + 1e-4 * c
+
+    plain, _ = models._minimise(evaluate, np.zeros(60), 3000, 1e-9, memory=10)
+    slow = len(passes)
+    scale = 1 / np.sqrt((x * x).mean(axis=0) / 4 + 1e-4)
+    scaled, slope = models._minimise(evaluate, np.zeros(60), 3000, 1e-9, np.minimum(scale, 32))
+    assert len(passes) - slow < slow and np.abs(slope).max() <= 1e-9 and np.allclose(plain, scaled, atol=1e-4)
+
+
+def test_vectors_as_bytes_keep_their_numbers():
+    import pyarrow as pa
+
+    rows = [[1, 2], [], [7], [3, 4, 5]]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array([[v / 3 for v in r] for r in rows], pa.list_(pa.float64())),
+                                        pa.array([0.0] * 4), pa.array([1.0] * 4), pa.array([9] * 4, pa.int32())], ["i", "v", "y", "w", "size"])
+    for part in (batch, batch.slice(2), batch.slice(1, 1)):
+        (packed,) = models._as_bytes([part])
+        place, ends = models._unpacked(packed.column("i"), "<i4")
+        value, _ = models._unpacked(packed.column("v"), "<f8")
+        want = part.column("i").to_pylist()
+        assert [place[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+        assert value[:ends[-1]].tolist() == [v / 3 for r in want for v in r]
