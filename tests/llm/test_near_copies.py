@@ -162,3 +162,20 @@ def test_scratch_tables_go(spark, tmp_path):
 
     assert len(kept) > 5 and not any(Path(urlparse(p).path).exists() for p in kept)
     assert shared_path(spark, "x")
+
+
+def test_near_fingerprints_are_compared_whatever_anchors_the_long_ones_share(spark):
+    """A pair within three bits goes to a common anchor in operator 9, but its home anchors may all differ."""
+    from shoplore.llm.simhash import _simhash
+    from shoplore.llm.common import words_of
+
+    draw, docs = random.Random(8), []
+    for i in range(60):
+        base = " ".join(f"w{draw.randrange(9000)}" for _ in range(250))
+        docs += [(2 * i, base), (2 * i + 1, edited(base, draw, 2))]
+    near = {i for i, text in docs if i % 2 and (_simhash(words_of(text), 3) ^ _simhash(words_of(docs[i - 1][1]), 3)).bit_count() <= 3}
+    homes = Nearness(words=1, compared=1)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    before = {r[0] for r in without_confirmed_copies(df, rules=homes).select("doc_id").collect()}
+    after = {r[0] for r in without_confirmed_copies(df, rules=replace(homes, linked_bits=3)).select("doc_id").collect()}
+    assert before & near and not after & near and after <= before and {i for i, _ in docs if i % 2 == 0} <= after
