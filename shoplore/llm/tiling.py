@@ -309,20 +309,22 @@ def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item
             out = checkpointed(out)
             shared.unpersist()
         shared = df.sparkSession.sparkContext.broadcast(block)
-        packed = out.select(F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-        clean = in_arrow(packed, _keep(shared, rules),
+        # the text travels once, inside its row
+        packed = out.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(out.columns)]).alias("row"))
+        clean = in_arrow(packed, _keep(shared, rules, out.columns.index(text)),
                          T.StructType([T.StructField("row", packed.schema["row"].dataType)]))
-        out = clean.select(*[F.col("row")[c].alias(c) for c in df.columns])
+        out = clean.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(df.columns)])
     return out
 
 
-def _keep(shared, rules: Tiling):
+def _keep(shared, rules: Tiling, place: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         block = _Block(shared.value, rules)
         for batch in batches:
-            for part in pieces(batch):
+            rows = batch.column("row")
+            for part in pieces(pa.RecordBatch.from_arrays([rows, rows.field(place)], ["row", "text"])):
                 clean = [i for i, body in enumerate(part.column("text").to_pylist()) if not block.leaks(body)]
                 if clean:
                     yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(clean, pa.int64()))], ["row"])
