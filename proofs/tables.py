@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from proofs.registry import Tables, proof, rounded
 from shoplore.operators import cleaning, quality
 from shoplore.plans.marketplace import Names, clean
-from shoplore.session import checkpointed
-from shoplore.sources.files import add_reference_rows
+from shoplore.session import shared_path
+from shoplore.sources.files import add_reference_rows, create_table_as
 
 
 def _holed_orders(t: Tables):
@@ -174,8 +174,8 @@ def _star(t: Tables):
 
 
 def _stored(name, df):
-    """Orders and items are read by several later steps."""
-    return checkpointed(df) if name in ("orders", "order_item") else df
+    """Orders and items are read by several later steps, a few columns at a time."""
+    return create_table_as(df, shared_path(df.sparkSession, name)) if name in ("orders", "order_item") else df
 
 
 STAR_SQL = f"""

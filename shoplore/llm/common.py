@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import shoplore
+from shoplore.functions.columns import fresh  # noqa: F401
+from shoplore.operators.bitmaps import bitmap_of, split_by  # noqa: F401
 from shoplore.session import shared_path
 from shoplore.sources.files import create_table_as
 
@@ -57,18 +59,6 @@ def fold(key: str | Column, folds: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % folds
 
 
-def fresh(taken: Sequence[str], *names: str) -> list[str]:
-    """Names like the given ones that no column has yet (Spark compares names without case)."""
-    used = {c.lower() for c in taken}
-    out = []
-    for name in names:
-        while name.lower() in used:
-            name += "_"
-        used.add(name.lower())
-        out.append(name)
-    return out
-
-
 def per_text(df: DataFrame, key: str, text: str, fields: Sequence[T.StructField],
              make: Callable[[], Callable[[list[str | None]], list]]) -> DataFrame:
     """``key`` and new columns worked out from ``text``, without a shuffle.
@@ -135,31 +125,6 @@ class Scratch:
             removed(self.spark, self.paths.pop())
 
 
-#: Bits of a bitmap of hashes: 8 MB, whatever the number of hashes.
-_MAP_BITS, _ROW_BITS = 26, 15
-
-
-def bitmap_of(hashes: DataFrame) -> DataFrame:
-    """``(bucket, bits)``: which places the only column of ``hashes`` (long) falls on, in at most 2,048 rows
-    of 4 KB. The more hashes, the more places are set by chance; then it rules out less."""
-    place = F.pmod("hash", F.lit(1 << _MAP_BITS))
-    return (hashes.toDF("hash").select(place.alias("p")).groupBy(F.shiftright("p", _ROW_BITS).cast("int").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).alias("bits")))
-
-
-def split_by(df: DataFrame, column: str, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose hash in ``column`` is marked in the bitmap, and those it rules out; ``df`` is read for
-    each of them, without a shuffle. The bitmap is broadcast, 8 MB at most."""
-    place = F.pmod(F.col(column), F.lit(1 << _MAP_BITS))
-    inside = place.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    bucket, bits = fresh(df.columns, "map_bucket", "map_bits")
-    rows = df.join(F.broadcast(bitmap.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))),
-                   F.shiftright(place, _ROW_BITS).cast("int") == F.col(bucket), "left")
-    byte = F.conv(F.hex(F.call_function("substring", F.col(bits), (F.shiftright(inside, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_set = F.coalesce(F.call_function("shiftright", byte, inside.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    return rows.filter(is_set).drop(bucket, bits), rows.filter(~is_set).drop(bucket, bits)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to a new folder of the shared checkpoint folder and read it back."""
     return create_table_as(df, shared_path(df.sparkSession, name))

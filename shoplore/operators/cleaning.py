@@ -9,8 +9,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoplore.functions.columns import is_true
+from shoplore.operators.bitmaps import bitmap_of, split_by
 
 
 def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -31,7 +33,7 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
 
 def with_parent_flag(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None,
                      null_aware: bool = False, parent_unique: bool = False, salts: int = 1,
-                     out: str = "stays") -> DataFrame:
+                     out: str = "stays", sieve: bool = False) -> DataFrame:
     """Add whether a child row stays when orphans go; each table is read once.
 
     A row stays if its key has a parent or if it has no key. ``null_aware=True`` follows SQL's
@@ -44,22 +46,40 @@ def with_parent_flag(child: DataFrame, parent: DataFrame, key: str, parent_key:
     sides may repeat keys, ``salts`` spreads a hot child key over several tasks. Child rows without a
     key are spread by a hash of the row, so that they do not meet in one task. The hash is of the data,
     not random, so that a task that runs again sends its rows to the same places.
+
+    ``sieve=True`` is for a large child, many of whose rows go, and stored tables: both are read once more, and
+    a bitmap of the parent's hashed keys (8 MB at most, broadcast) finds rows that no parent can have. Those, and
+    rows without a key, are flagged where they are; only the others move to the join, which is exact. Of more keys
+    than the bitmap has places (67 million) it rules out less. Keys other than integers and texts of one
+    type on both sides, whose hashes need not follow equality, take the plain way.
     """
     own = F.col(parent_key or key)
     keys = parent.select(own.alias("__key")).filter(F.col("__key").isNotNull())
-    if not parent_unique:
-        keys = keys.distinct()
-    keys = keys.select("__key", F.lit(True).alias("__found"),
-                       F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
-    row = F.xxhash64(*child.columns)
-    salt = F.when(F.col(key).isNull(), F.pmod(row, F.lit(1 << 20)) + salts).otherwise(F.pmod(row, F.lit(salts)))
-    left = child.withColumns({"__key": F.col(key), "__salt": salt.cast("int")})
-    stays = F.col("__key").isNull() | F.col("__found").isNotNull()
+    sure = None
     if null_aware:
         state = parent.agg(F.when(F.count(F.lit(1)) == 0, "empty").when(F.count_if(own.isNull()) > 0, "unknown")
                            .otherwise("known").alias("state")).scalar()
-        stays = F.when(state == "empty", False).when(state == "unknown", True).otherwise(stays)
-    return left.join(keys, ["__key", "__salt"], "left").withColumn(out, stays).drop("__key", "__salt", "__found")
+        sure = F.when(state == "empty", False).when(state == "unknown", True)
+
+    def flagged(rows: DataFrame, stays: Column) -> DataFrame:
+        return rows.withColumn(out, stays if sure is None else sure.otherwise(stays))
+
+    kinds = [df.select(column).schema[0].dataType for df, column in ((child, F.col(key)), (keys, F.col("__key")))]
+    still = None
+    if sieve and kinds[0] == kinds[1] and (isinstance(kinds[0], T.IntegralType) or kinds[0] == T.StringType()):
+        hashed = child.withColumn("__hash", F.when(F.col(key).isNotNull(), F.xxhash64(key)))
+        child, still = (rows.drop("__hash") for rows in split_by(hashed, "__hash", bitmap_of(keys.select(F.xxhash64("__key")))))
+    if not parent_unique:
+        keys = keys.distinct()
+    met = F.col(key) == F.col("__key")
+    if still is None or salts > 1:
+        keys = keys.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        row = F.xxhash64(*child.columns)
+        salt = F.when(F.col(key).isNull(), F.pmod(row, F.lit(1 << 20)) + salts).otherwise(F.pmod(row, F.lit(salts)))
+        child, met = child.withColumn("__salt", salt.cast("int")), met & (F.col("__salt") == F.col("__place"))
+    # an unmatched row has no __key
+    found = flagged(child.join(keys, met, "left"), F.col(key).isNull() | F.col("__key").isNotNull()).drop("__key", "__place", "__salt")
+    return found if still is None else found.unionByName(flagged(still, F.col(key).isNull()))
 
 
 def delete_orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None,

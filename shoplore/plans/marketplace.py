@@ -113,9 +113,10 @@ def clean(tables: Mapping[str, DataFrame], names: Names = Names(), null_aware: b
 
     ``tables`` holds ``orders`` and any of ``customer``, ``order_item``, ``payment``, ``review``,
     ``product``, ``seller`` and ``product_category``. Every table is flagged in one pass; what stays and
-    the audit are read from the flags. Orders are read by four later steps and items by two; pass a
+    the audit are read from the flags. Orders are read by several later steps and items by two; pass a
     ``stage`` that writes a flagged table and reads it back to have each worked out once, for the
-    tables and the audit together.
+    tables and the audit together. Items, payments and reviews of orders that go are found by a bitmap of the
+    orders that stay and do not move.
     """
     n, done, audits = names, {}, []
 
@@ -132,19 +133,19 @@ def clean(tables: Mapping[str, DataFrame], names: Names = Names(), null_aware: b
         ("orders: not delivered", ~is_true(F.col(n.status) != n.delivered))])
 
     def drop_orphans(name: str, key: str, parent: DataFrame, parent_key: str, unique: bool,
-                     table: DataFrame | None = None, salts: int = 1) -> None:
+                     table: DataFrame | None = None, salts: int = 1, sieve: bool = False) -> None:
         before = tables[name] if table is None else table
         done[name] = flagged(name, cleaning.with_parent_flag(
-            before, parent, key, parent_key, null_aware, unique, salts, "__stays"), [(f"{name}: orphans", F.col("__stays"))])
+            before, parent, key, parent_key, null_aware, unique, salts, "__stays", sieve), [(f"{name}: orphans", F.col("__stays"))])
 
     if "customer" in tables:
         drop_orphans("customer", n.customer, orders, n.order_customer, False)
     for name, key in (("order_item", n.item_order), ("payment", n.payment_order)):
         if name in tables:
-            drop_orphans(name, key, orders, n.order, True)
+            drop_orphans(name, key, orders, n.order, True, sieve=True)
     if "review" in tables:
         filled = cleaning.fill_missing(tables["review"], {c: n.filler for c in n.review_texts})
-        drop_orphans("review", n.review_order, orders, n.order, True, filled)
+        drop_orphans("review", n.review_order, orders, n.order, True, filled, sieve=True)
     items = done.get("order_item")
     if "product" in tables and items is not None:
         slim = cleaning.fill_missing(
