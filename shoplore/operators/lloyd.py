@@ -21,10 +21,12 @@ _ROWS = 4096
 
 @dataclass(frozen=True)
 class Points:
-    """Stored rows ``x`` (an array), ``u`` (a hash that stays with the row) and ``g`` (the group of tasks whose sums
-    meet first), the mean that is taken off before distances are worked out, and the mean variance of a feature."""
+    """Stored blocks of up to 4,096 rows: ``x`` (their features, row after row, as bytes of doubles, so that a pass hands
+    Python whole blocks and turns no row into objects), ``u`` (hashes that stay with the rows) and ``g`` (the group of
+    tasks whose sums meet first); the mean that is taken off before distances are worked out, and the mean variance of
+    a feature."""
 
-    rows: DataFrame
+    blocks: DataFrame
     mean: np.ndarray
     n: int
     first: np.ndarray
@@ -44,15 +46,14 @@ class Points:
                 if not batch.num_rows:
                     continue
                 group = batch.column("g")[0].as_py()
-                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1) - mean
-                for at in range(0, len(x), _ROWS):
-                    found = work(x[at:at + _ROWS])
+                for block in batch.column("x"):
+                    found = work(_matrix(block, len(mean)) - mean)
                     total = found if total is None else total + found
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([total], pa.list_(pa.float64()))], ["g", "v"])
 
         added = vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")
-        sums = self.rows.select("x", "g").mapInArrow(part, "g int, v array<double>")
+        sums = self.blocks.select("x", "g").mapInArrow(part, "g int, v array<double>")
         if self.groups > 1:
             sums = sums.groupBy("g").agg(added)
         return sums.agg(added).toArrow()["v"].combine_chunks().flatten().to_numpy()
@@ -66,22 +67,35 @@ class Points:
             import pyarrow as pa
 
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                raw = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-                u = batch.column("u").to_numpy().view(np.uint64)
-                with np.errstate(over="ignore"):
-                    u = (u ^ u >> np.uint64(31)) * np.uint64((0x9E3779B97F4A7C15 * (2 * turn + 1)) % (1 << 64))
-                chance = (u >> np.uint64(11)).astype(np.float64) / (1 << 53)
-                gaps = np.concatenate([_gaps(raw[at:at + _ROWS] - mean, centres).min(axis=1) for at in range(0, len(raw), _ROWS)])
-                taken = raw[chance < share * gaps]
-                if len(taken):
-                    yield pa.RecordBatch.from_arrays([pa.array(list(taken), pa.list_(pa.float64()))], ["x"])
-
-        found = self.rows.select("x", "u").mapInArrow(part, "x array<double>").distinct().toArrow()["x"].to_pylist()
+                for block, hashes in zip(batch.column("x"), batch.column("u")):
+                    raw, u = _matrix(block, len(mean)), np.frombuffer(hashes.as_buffer(), np.uint64)
+                    with np.errstate(over="ignore"):
+                        u = (u ^ u >> np.uint64(31)) * np.uint64((0x9E3779B97F4A7C15 * (2 * turn + 1)) % (1 << 64))
+                    chance = (u >> np.uint64(11)).astype(np.float64) / (1 << 53)
+                    taken = raw[chance < share * _gaps(raw - mean, centres).min(axis=1)]
+                    if len(taken):
+                        yield pa.RecordBatch.from_arrays([pa.array(list(taken), pa.list_(pa.float64()))], ["x"])
+
+        found = self.blocks.select("x", "u").mapInArrow(part, "x array<double>").distinct().toArrow()["x"].to_pylist()
         return np.array(sorted(found), dtype=np.float64).reshape(-1, len(mean)) - mean
 
 
+def _matrix(block, width: int) -> np.ndarray:
+    """The rows of a block."""
+    return np.frombuffer(block.as_buffer(), np.float64).reshape(-1, width)
+
+
+def _blocks(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(at, _ROWS)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([part.column("x").flatten().to_numpy().tobytes()], pa.binary()),
+                pa.array([part.column("u").to_numpy().tobytes()], pa.binary()), part.column("g").slice(0, 1)], ["x", "u", "g"])
+
+
 @contextmanager
 def stored_points(df: DataFrame, features: Sequence[str], seed: int):
     """The rows of ``df`` as :class:`Points`, kept for as long as the block runs. A missing value is an error."""
@@ -90,38 +104,51 @@ def stored_points(df: DataFrame, features: Sequence[str], seed: int):
     whole = [F.when(v.isNull() | F.isnan(v), bad.cast("double")).otherwise(v) for v in values]
     kept = checkpointed(df.select(F.array(*whole).alias("x"), F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)).alias("u")))
     groups = math.isqrt(kept.rdd.getNumPartitions() // 8) or 1
-    rows = kept.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups))).persist(StorageLevel.MEMORY_AND_DISK)
+    grouped = kept.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    blocks = grouped.mapInArrow(_blocks, "x binary, u binary, g int").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        facts = rows.agg(F.count(F.lit(1)).alias("n"), F.min_by("x", "u").alias("first"),
+        facts = kept.agg(F.count(F.lit(1)).alias("n"), F.min_by("x", "u").alias("first"),
                          *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(features))],
                          *[F.var_pop(F.col("x")[i]).alias(f"v{i}") for i in range(len(features))]).first()
         if not facts["n"]:
             raise ValueError("no rows to cluster")
         mean = np.array([facts[f"m{i}"] for i in range(len(features))])
-        yield Points(rows, mean, facts["n"], np.array([facts["first"]]) - mean, groups,
+        yield Points(blocks, mean, facts["n"], np.array([facts["first"]]) - mean, groups,
                      sum(facts[f"v{i}"] for i in range(len(features))) / len(features))
     finally:
-        rows.unpersist()
+        blocks.unpersist()
 
 
 def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared distances of rows to centres."""
-    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0)
+    gaps = (-2 * x) @ centres.T
+    gaps += (x * x).sum(axis=1)[:, None]
+    gaps += (centres * centres).sum(axis=1)
+    return np.maximum(gaps, 0, out=gaps)
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray, sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """Of every row and model (``sizes`` centres one after the other) the place of the nearest centre and the
-    squared distance to it."""
-    gaps = _gaps(x, centres)
-    places, least = np.empty((len(x), len(sizes)), dtype=np.int64), np.empty((len(x), len(sizes)))
+    squared distance to it. One model at a time, a line of distances per centre: a few long vector operations in
+    the cache, where a minimum over the few centres of every row is a call per row."""
+    across = np.ascontiguousarray(x.T)
+    squares = (across * across).sum(axis=0)
+    places, least = np.empty((len(sizes), len(x)), dtype=np.int64), np.empty((len(sizes), len(x)))
     begin = 0
-    for m, size in enumerate(sizes):
-        own = gaps[:, begin:begin + size]
-        places[:, m] = own.argmin(axis=1)
-        least[:, m] = own[np.arange(len(x)), places[:, m]]
-        places[:, m] += begin
+    for place, best, size in zip(places, least, sizes):
+        found = np.zeros(len(x), dtype=np.int32)
+        own = centres[begin:begin + size]
+        gaps = (-2 * own) @ across
+        gaps += squares
+        gaps += (own * own).sum(axis=1)[:, None]
+        np.maximum(gaps, 0, out=gaps)
+        best[:] = gaps[0]
+        for j in range(1, size):
+            np.maximum(found, (gaps[j] < best) * np.int32(j), out=found)  # the later place is the greater one
+            np.minimum(best, gaps[j], out=best)
+        np.add(found, begin, out=place)
         begin += size
-    return places, least
+    return places.T, least.T
 
 
 def _step(points: Points, models: Sequence[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -131,9 +158,9 @@ def _step(points: Points, models: Sequence[np.ndarray]) -> tuple[list[np.ndarray
 
     def work(x):
         places, least = _nearest(x, centres, sizes)
-        flat = places.ravel()
+        flat = places.T.ravel()
         columns = [np.bincount(flat, minlength=len(centres))]
-        columns += [np.bincount(flat, np.repeat(x[:, j], len(sizes)), len(centres)) for j in range(width)]
+        columns += [np.bincount(flat, np.tile(x[:, j], len(sizes)), len(centres)) for j in range(width)]
         return np.concatenate([np.stack(columns).ravel(), least.sum(axis=0)])
 
     found = points.summed(work)
@@ -254,20 +281,19 @@ def _cells(points: Points, centres: np.ndarray, sizes: Sequence[int], width: flo
         import pyarrow as pa
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1) - mean
-            at = np.floor(x / width)
-            inside = x - (at + 0.5) * width  # from the middle of the cell, so that squares lose no digits
-            sums = np.concatenate([np.ones((len(x), 1)), inside, (inside * inside).sum(axis=1)[:, None]], axis=1)
-            for place in _nearest(x, centres, sizes)[0].T:
-                keys, of = np.unique(np.concatenate([place[:, None], at], axis=1), axis=0, return_inverse=True)
-                table = np.stack([np.bincount(of.ravel(), c, len(keys)) for c in sums.T], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.list_(pa.float64())), *[pa.array(c) for c in table.T]],
-                                                 ["cell", *[f"v{j}" for j in range(dims + 2)]])
+            for block in batch.column("x"):
+                x = _matrix(block, dims) - mean
+                at = np.floor(x / width)
+                inside = x - (at + 0.5) * width  # from the middle of the cell, so that squares lose no digits
+                sums = np.concatenate([np.ones((len(x), 1)), inside, (inside * inside).sum(axis=1)[:, None]], axis=1)
+                for place in _nearest(x, centres, sizes)[0].T:
+                    keys, of = np.unique(np.concatenate([place[:, None], at], axis=1), axis=0, return_inverse=True)
+                    table = np.stack([np.bincount(of.ravel(), c, len(keys)) for c in sums.T], axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.list_(pa.float64())), *[pa.array(c) for c in table.T]],
+                                                     ["cell", *[f"v{j}" for j in range(dims + 2)]])
 
     names = [f"v{j}" for j in range(dims + 2)]
-    found = (points.rows.select("x").mapInArrow(part, "cell array<double>, " + ", ".join(f"{c} double" for c in names))
+    found = (points.blocks.select("x").mapInArrow(part, "cell array<double>, " + ", ".join(f"{c} double" for c in names))
              .groupBy("cell").agg(*[F.sum(c).alias(c) for c in names]).limit(most + 1).toArrow())
     if found.num_rows > most:
         return None

@@ -318,3 +318,22 @@ def test_bounds_hold_the_euclidean_silhouette(spark, kind):
         true = euclidean_by_pairs(x, model)
         assert near.bound <= 1e-3 and abs(near.value - true) <= near.bound + 1e-6
         assert abs(wide.value - true) <= wide.bound + 1e-6
+
+
+def test_a_pass_gets_blocks_of_rows(spark):
+    draw = np.random.default_rng(5)
+    values = draw.normal(size=(9001, 2)).round(1)  # ties between centres
+    df = spark.createDataFrame([tuple(map(float, v)) for v in values], "x double, y double").repartition(2)
+    with lloyd.stored_points(df, ["x", "y"], 1) as points:
+        assert points.blocks.count() <= 6
+        assert points.blocks.selectExpr("sum(length(x)) AS x", "sum(length(u)) AS u").first().asDict() == {"x": 9001 * 16, "u": 9001 * 8}
+        assert points.n == 9001 and np.allclose(points.summed(lambda x: x.sum(axis=0)), 0, atol=1e-8)
+        everything = points.drawn(np.zeros((1, 2)) + 50, 1.0, 0)
+        assert np.allclose(everything + points.mean, np.unique(values, axis=0))
+    sizes, centres = [1, 2, 5], draw.normal(size=(8, 2)).round(1)
+    centres[5] = centres[4]
+    places, least = lloyd._nearest(values, centres, sizes)
+    gaps = ((values[:, None] - centres) ** 2).sum(axis=2)
+    for m, (begin, end) in enumerate(((0, 1), (1, 3), (3, 8))):
+        assert np.allclose(gaps[:, begin:end].min(axis=1), least[:, m])
+        assert np.allclose(gaps[np.arange(9001), places[:, m]], least[:, m]) and not (places[:, m] == 5).any()
